@@ -25,6 +25,11 @@ def channel_of(draw: Column) -> Column:
     return F.coalesce(*branches, F.lit(last))
 
 
+def channel_of_props(props: str) -> Column:
+    """The channel of an event, from the number in its properties."""
+    return channel_of(F.regexp_extract(props, "([0-9]+)", 1).cast("int"))
+
+
 def uid() -> Column:
     """The journey id as one string."""
     return F.concat_ws("-", *JOURNEY)
@@ -46,7 +51,7 @@ def ad_events(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.to_date("ts").alias("day"),
         "event_id",
         F.col("ts").alias("time"),
-        channel_of(F.regexp_extract("props", "([0-9]+)", 1).cast("int")).alias("channel"),
+        channel_of_props("props").alias("channel"),
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("conversion"),
         F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(0).alias("click"),
         (1 + F.col("event_id") % fv.STARS).cast("int").alias("product_stars"),
