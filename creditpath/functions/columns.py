@@ -55,7 +55,7 @@ def calendar_features(time: Column) -> dict[str, Column]:
 
 def path_transitions(path: Column) -> Column:
     """The consecutive state pairs ``'a > b'`` of a path ``'a > b > c'``."""
-    states = F.transform(F.split(path, ">"), F.trim)
+    states = F.transform(F.split(path, ">"), lambda state: F.trim(state))
     pairs = F.zip_with(
         F.slice(states, F.lit(1), F.size(states) - 1),
         F.slice(states, F.lit(2), F.size(states) - 1),

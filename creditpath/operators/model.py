@@ -12,6 +12,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditpath.plans.small import pin
+
 LABEL = "impr"
 SEED = 1234
 
@@ -84,7 +86,7 @@ class Tuned:
     points: list[dict]
 
 
-def tune(train: DataFrame, depths=tuple(GRID_DEPTH), iterations=tuple(GRID_ITERATIONS), parallelism: int = 4) -> Tuned:
+def tune(train: DataFrame, depths=tuple(GRID_DEPTH), iterations=tuple(GRID_ITERATIONS), parallelism: int = 8) -> Tuned:
     """Cross validation over the grid; the preparation is fitted once, outside the folds."""
     prepared = Pipeline(stages=preparation()).fit(labelled(train))
     trees = regressor()
@@ -112,14 +114,17 @@ def predict_impressions(model: PipelineModel, silver: DataFrame, name: str = "im
 
 
 def model_report(train: DataFrame, test: DataFrame, **grid) -> DataFrame:
-    """Errors of the default and the tuned model on train and test rows, and of each grid point."""
-    train, test = model_input(train), model_input(test)
+    """Errors of the default and the tuned model on train and test rows, and of each grid point.
+
+    The rows are pinned first, as every tree level reads them again.
+    """
+    train, test = pin(model_input(train)), pin(model_input(test))
     plain, tuned = fit(train), tune(train, **grid)
     lines = [
-        (stage, part, None, None, rmse(model, rows))
+        (stage, part, None, None, float(rmse(model, rows)))
         for stage, model in (("default", plain), ("tuned", tuned.model))
         for part, rows in (("train", train), ("test", test))
     ]
-    lines += [("grid", "folds", p["max_depth"], p["max_iter"], p["rmse"]) for p in tuned.points]
+    lines += [("grid", "folds", p["max_depth"], p["max_iter"], float(p["rmse"])) for p in tuned.points]
     schema = "stage string, part string, max_depth int, max_iter int, rmse double"
     return train.sparkSession.createDataFrame(lines, schema)

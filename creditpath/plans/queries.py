@@ -22,7 +22,7 @@ _STEPS: dict[str, Callable[[Stages], DataFrame]] = {}
 
 
 # Means of few rates end in a 5 at the seventh place; more places keep rounding clear of it.
-_DIGITS = {"user_totals": 10}
+_DIGITS = {"user_totals": 10, "segment_revenue": 8}
 
 
 def query(step: Callable[[Stages], DataFrame]) -> Callable[[Stages], DataFrame]:
