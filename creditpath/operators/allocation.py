@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from creditpath import fixed_values as fv
 from creditpath.operators.scoring import BID_UNIT, scale_constants
 from creditpath.plans.ranges import share_within
-from creditpath.plans.small import pin
+from creditpath.plans.small import settle
 
 
 class NegativeValueError(ValueError):
@@ -41,13 +41,17 @@ def allocate(
 
     Units of equal value per weight are taken in the order of ``key``, which must be unique.
     """
-    units = pin(kpis.withColumns({"v": value, "w": F.col("spend") - F.col("revenue") / F.lit(target)}))
-    if not units.where("v < 0").isEmpty():
+    units = settle(kpis.withColumns({"v": value, "w": F.col("spend") - F.col("revenue") / F.lit(target)}))
+    found = units.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.min("v").alias("least"),
+        F.sum(F.greatest(-F.col("w"), F.lit(0.0))).alias("room"),
+    ).first()
+    if found["least"] is not None and found["least"] < 0:
         raise NegativeValueError("the objective needs values of at least 0")
-    room = units.where("w <= 0").agg(F.coalesce(F.sum(-F.col("w")), F.lit(0.0))).scalar()
     free = units.where("w <= 0").withColumn("x", F.lit(1.0))
     order = {"density": -F.col("v") / F.col("w")} | {name: F.col(name) for name in key}
-    paid = share_within(units.where("w > 0"), order, "w", room, "x")
+    paid = share_within(units.where("w > 0"), found["total"], order, "w", F.lit(found["room"]), "x")
     chosen = free.unionByName(paid)
     return chosen.withColumn("opt_result", F.when(F.col("x") >= 0.5, 1).otherwise(0))
 

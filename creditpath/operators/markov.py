@@ -14,6 +14,8 @@ from creditpath.plans.small import settle
 BASE = "(none)"
 # Walks without repeated states are kept per set of visited states, of which there are 2**channels.
 MAX_SIMPLE_PATH_CHANNELS = 16
+# Up to this many states there are fewer than 20,000 walks.
+FEW_STATES = 9
 
 
 def transition_matrix(transitions: DataFrame) -> DataFrame:
@@ -102,6 +104,7 @@ def _simple_path(graphs: DataFrame) -> DataFrame:
     rounds = graphs.select("start_state").distinct().count()
     if rounds > MAX_SIMPLE_PATH_CHANNELS + 1:
         raise ValueError(f"{rounds} states have too many simple paths; use mode='absorbing'")
+    # Fewer rows than the cube of the number of states, which was checked.
     moves = graphs.where(F.col("end_state") != NULL).select(
         "removed", F.col("start_state").alias("state"), "end_state", "transition_probability"
     )
@@ -113,9 +116,12 @@ def _simple_path(graphs: DataFrame) -> DataFrame:
         F.lit(1.0).alias("p"),
         F.lit(0.0).alias("won"),
     )
+    if rounds <= FEW_STATES:
+        # So few walks that one task is enough; without shuffles all rounds are one stage.
+        walks = walks.coalesce(1)
     for _ in range(rounds):
         # What has been won stays in a row of its own, whose state has no moves.
-        steps = walks.join(moves, ["removed", "state"], "left")
+        steps = walks.join(F.broadcast(moves), ["removed", "state"], "left")
         steps = steps.where(goal | F.col("end_state").isNull() | ~F.array_contains("visited", F.col("end_state")))
         gain = F.col("p") * F.col("transition_probability")
         open_ = F.col("end_state").isNotNull() & ~goal

@@ -249,8 +249,8 @@ SELECT uid, user_impr, user_clicks, user_txns, {r("user_cpi", "user_cpc", "user_
 """
 RESULTS["segment_revenue"] = """
 SELECT "VISIT_RANK2", cast(sum(user_impr) AS bigint) AS impr, cast(sum(user_clicks) AS bigint) AS clicks,
-       cast(sum(user_txns) AS bigint) AS txns, round(avg(user_cpi), 8) AS cpm, round(avg(user_cpc), 8) AS cpc,
-       round(sum(user_gpt), 8) AS potential_gp, round(avg(user_gpt), 8) AS avg_gpt, round(stddev_samp(user_gpt), 8) AS std_gpt
+       cast(sum(user_txns) AS bigint) AS txns, round(avg(user_cpi), 7) AS cpm, round(avg(user_cpc), 7) AS cpc,
+       round(sum(user_gpt), 7) AS potential_gp, round(avg(user_gpt), 7) AS avg_gpt, round(stddev_samp(user_gpt), 7) AS std_gpt
 FROM t_user LEFT JOIN t_rank USING (uid) GROUP BY "VISIT_RANK2"
 """
 RESULTS["impression_percentiles"] = """

@@ -13,7 +13,7 @@ from creditpath.operators import allocation, enrich, explore, journeys, markov,
 from creditpath.plans.stages import Stages, named
 from creditpath.session import scratch_path
 from creditpath.sources import tables
-from creditpath.sources.event_log import JOURNEY, channel_of_props, read_events
+from creditpath.sources.event_log import JOURNEY, read_events, with_channel
 from creditpath.sources.raw_log import write_raw
 from creditpath.streaming.ingest import ingest
 
@@ -22,7 +22,7 @@ _STEPS: dict[str, Callable[[Stages], DataFrame]] = {}
 
 
 # Means of few rates end in a 5 at the seventh place; more places keep rounding clear of it.
-_DIGITS = {"user_totals": 10, "segment_revenue": 8}
+_DIGITS = {"user_totals": 10, "segment_revenue": 7}
 
 
 def query(step: Callable[[Stages], DataFrame]) -> Callable[[Stages], DataFrame]:
@@ -192,12 +192,12 @@ def channel_contribution_ranked(s: Stages) -> DataFrame:
 
 @query
 def visit_rank(s: Stages) -> DataFrame:
-    return s.ranks
+    return visits.visit_rank(s.contributions)
 
 
 @query
 def rank_extremes(s: Stages) -> DataFrame:
-    return visits.rank_extremes(s.ranks)
+    return visits.rank_extremes(visits.visit_rank(s.contributions))
 
 
 @query
@@ -428,9 +428,9 @@ def converting_edges(s: Stages) -> DataFrame:
 @query
 def ad_spend_exploded(s: Stages) -> DataFrame:
     """Each user's day as a campaign that spends the value of its events on their channels."""
-    spent = read_events(s.spark, s.data_dir).select(
+    spent = with_channel(read_events(s.spark, s.data_dir)).select(
         F.concat_ws("-", "user_id", F.to_date("ts")).alias("campaign_id"),
-        channel_of_props("props").alias("channel"),
+        "channel",
         F.col("value").alias("spend"),
         F.col("ts").alias("time"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from creditpath.functions import position_in, tile_of_row
 from creditpath.plans.cuts import literal_array
-from creditpath.plans.small import pin
+from creditpath.plans.small import pin_counted
 
 # Rows per bucket to aim for, and how many buckets there may be.
 BUCKET_ROWS = 50_000
@@ -24,12 +24,11 @@ SAMPLE_ROWS = 200_000
 BUCKET = "_bucket"
 
 
-def with_buckets(rows: DataFrame, order: dict[str, Column]) -> tuple[DataFrame, int]:
-    """Add a bucket number that rises with the sort key ``order``; also returns the row count.
+def with_buckets(rows: DataFrame, total: int, order: dict[str, Column]) -> DataFrame:
+    """Add a bucket number that rises with the sort key ``order`` of the ``total`` rows.
 
     ``rows`` must be pinned or read from a table: it is read more than once.
     """
-    total = rows.count()
     buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, total // BUCKET_ROWS))
     point = F.struct(*[column.alias(name) for name, column in order.items()])
     fraction = min(1.0, SAMPLE_ROWS / max(total, 1))
@@ -42,13 +41,13 @@ def with_buckets(rows: DataFrame, order: dict[str, Column]) -> tuple[DataFrame,
         lambda i: F.get(F.col("seen"), F.floor(i.cast("long") * F.size("seen") / F.lit(buckets)).cast("int")),
     )
     bounds, _ = literal_array(seen.select(F.filter(step, lambda at: at.isNotNull()).alias("bounds")))
-    return rows.withColumn(BUCKET, position_in(bounds, point)), total
+    return rows.withColumn(BUCKET, position_in(bounds, point))
 
 
 def ntile(rows: DataFrame, tiles: int, order: dict[str, Column], name: str) -> DataFrame:
     """Add ``NTILE(tiles)`` in ascending ``order``."""
-    rows = pin(rows)
-    placed, total = with_buckets(rows, order)
+    rows, total = pin_counted(rows)
+    placed = with_buckets(rows, total, order)
     totals = placed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -68,12 +67,13 @@ def ntile(rows: DataFrame, tiles: int, order: dict[str, Column], name: str) -> D
 
 
 def share_within(
-    rows: DataFrame, order: dict[str, Column], weight: str, capacity: Column, name: str
+    rows: DataFrame, total: int, order: dict[str, Column], weight: str, capacity: Column, name: str
 ) -> DataFrame:
     """Add the share of each row's ``weight`` that fits when rows are taken in ``order``
-    until ``capacity`` is used up: 1, then one fraction, then 0. Weights must be positive.
+    until ``capacity`` is used up: 1, then one fraction, then 0. Weights must be positive,
+    and ``rows``, of about ``total`` rows, pinned.
     """
-    placed, _ = with_buckets(rows, order)
+    placed = with_buckets(rows, total, order)
     totals = placed.groupBy(BUCKET).agg(F.sum(weight).alias("_sum"))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(BUCKET, "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_used"))

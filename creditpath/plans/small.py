@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from creditpath.session import scratch_dir
 
@@ -23,3 +24,10 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there."""
     scratch_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The pinned rows and their number, counted as they are written."""
+    seen = Observation()
+    pinned = pin(df.observe(seen, F.count(F.lit(1)).alias("n_rows")))
+    return pinned, seen.get["n_rows"]

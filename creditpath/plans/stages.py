@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditpath.operators import allocation, enrich, explore, journeys, markov, risk, scoring, spend, visits
 from creditpath.plans.skew import HOT_ROWS
-from creditpath.plans.small import settle
+from creditpath.plans.small import pin, settle
 from creditpath.sources.event_log import JOURNEY, ad_events, read_events, uid
 
 SPLIT = {"train": 0.8, "val": 0.2}
@@ -54,7 +54,8 @@ class Stages:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return visits.visit_rank(self.contributions)
+        """User ranks, written once: several later steps join them."""
+        return pin(visits.visit_rank(self.contributions))
 
     @cached_property
     def silver(self) -> DataFrame:
@@ -132,7 +133,7 @@ class Stages:
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return scoring.expected_kpis(scoring.with_risk(self.bid_units, self.seeker))
+        return settle(scoring.expected_kpis(scoring.with_risk(self.bid_units, self.seeker)))
 
     def chosen(self, objective: str = "revenue") -> DataFrame:
         if objective == "revenue":

@@ -21,7 +21,12 @@ def build_session(master: str = "local[*]", app_name: str = "creditpath", **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Recording the call site of every column expression takes longer than planning the queries.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
+    if master.startswith("local"):
+        # Keep all threads busy although shuffles are small.
+        settings["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "64k"
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.master(master).appName(app_name)
     for name, value in settings.items():

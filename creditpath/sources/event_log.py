@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditpath import fixed_values as fv
 from creditpath.plans.skew import HOT_ROWS, SLICE, hot_key_cuts, running_sum_before, with_slices
+from creditpath.sources.schemas import EVENTS
 
 # A journey is one user on one day, cut after each conversion. Keeping the three
 # parts as the key lets every window and aggregate reuse one shuffle on (user, day).
@@ -25,9 +26,11 @@ def channel_of(draw: Column) -> Column:
     return F.coalesce(*branches, F.lit(last))
 
 
-def channel_of_props(props: str) -> Column:
-    """The channel of an event, from the number in its properties."""
-    return channel_of(F.regexp_extract(props, "([0-9]+)", 1).cast("int"))
+def with_channel(rows: DataFrame, props: str = "props") -> DataFrame:
+    """Replace the properties by the channel their number stands for."""
+    # The number is a column of its own, so that the pattern is matched once per row.
+    drawn = rows.withColumn(props, F.regexp_extract(props, "([0-9]+)", 1).cast("int"))
+    return drawn.withColumn("channel", channel_of(F.col(props))).drop(props)
 
 
 def uid() -> Column:
@@ -36,7 +39,7 @@ def uid() -> Column:
 
 
 def read_events(spark: SparkSession, data_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{data_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{data_dir}/events.parquet")
 
 
 def ad_events(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -46,12 +49,12 @@ def ad_events(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     conversion, click, product_stars; also ``slice`` when a journey is so long
     that its rows must be spread over several tasks.
     """
-    rows = raw.select(
+    rows = with_channel(raw.select("user_id", "event_id", "ts", "event_type", "props")).select(
         "user_id",
         F.to_date("ts").alias("day"),
         "event_id",
         F.col("ts").alias("time"),
-        channel_of_props("props").alias("channel"),
+        "channel",
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("conversion"),
         F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(0).alias("click"),
         (1 + F.col("event_id") % fv.STARS).cast("int").alias("product_stars"),

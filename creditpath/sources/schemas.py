@@ -7,6 +7,18 @@ RAW_LOG = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("uid", "time", "interaction", "channel", "conversion")]
 )
 
+# The events table; giving its columns saves the job that would look them up.
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
 BRONZE = T.StructType(
     [
         T.StructField("uid", T.StringType()),
