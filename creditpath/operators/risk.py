@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from creditpath.fixed_values import CONVERSION, NULL, START
 from creditpath.functions import ratio
 from creditpath.operators.explore import row_count
+from creditpath.plans.small import settle
 
 
 def user_transition_matrix(transitions: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
@@ -85,18 +86,19 @@ def channel_risk_score(probabilities: DataFrame, key: Sequence[str] = ("uid",))
         F.avg(n).alias("avg_transitions_per_chanel"), F.stddev_samp(n).alias("std_transitions_per_channel")
     )
     gap = F.col("avg_transitions_per_chanel") - F.col("std_transitions_per_channel")
-    stats = stats.withColumn("thresh_per_channel", F.when(gap > 0, gap).otherwise(0.0))
+    # One row per channel, computed first: a join by channel would gather the users of each channel in one place.
+    stats = settle(stats.withColumn("thresh_per_channel", F.when(gap > 0, gap).otherwise(0.0)))
     states = probabilities.where(F.col("start_state") != START).groupBy(*key, "start_state")
     states = states.agg(F.max(n).alias(n))
     return states.join(stats, "start_state", "left").withColumn("risk_score", ratio(F.col(n), F.col("thresh_per_channel")))
 
 
-def user_risk(scores: DataFrame, ranks: DataFrame, browse: DataFrame) -> DataFrame:
+def user_risk(scores: DataFrame, ranks: DataFrame, browse: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """Highest risk of each user with segment and browse probability; a user without one gets 1."""
-    per_user = scores.groupBy("uid").agg(
+    per_user = scores.groupBy(*key).agg(
         F.max("total_transitions_per_user").alias("max_transitions"), F.max("risk_score").alias("risk_score")
     )
-    joined = per_user.join(ranks.select("uid", "VISIT_RANK2"), "uid", "left").join(browse, "uid", "left")
+    joined = per_user.join(ranks.select(*key, "VISIT_RANK2"), list(key), "left").join(browse, list(key), "left")
     return joined.fillna(1.0, subset=["prob_to_browse"])
 
 
@@ -167,6 +169,11 @@ def edges_per_user(matrix: DataFrame, key: Sequence[str] = ("uid",)) -> DataFram
     return matrix.groupBy(*key).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def transitions_per_user(scores: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+    """The user's transitions counted once for each channel the user met."""
+    return scores.groupBy(*key).agg(F.sum("total_transitions_per_user").alias("transitions"))
+
+
 def converting_edges(matrix: DataFrame) -> DataFrame:
     return matrix.where(F.col("end_state") == CONVERSION)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,9 @@ def segment_tiles(segments: DataFrame) -> DataFrame:
     return segments.withColumn("user_rank", F.ntile(fv.RANK_TILES).over(Window.orderBy("VISIT_RANK2")))
 
 
-def visit_scores(browse: DataFrame, ranks: DataFrame) -> DataFrame:
+def visit_scores(browse: DataFrame, ranks: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """Browse probability summed by segment, and relative to the mean segment."""
-    users = browse.join(ranks.select("uid", "VISIT_RANK2"), "uid", "left")
+    users = browse.join(ranks.select(*key, "VISIT_RANK2"), list(key), "left")
     segments = users.groupBy("VISIT_RANK2").agg(F.sum("prob_to_browse").alias("logit_to_visit"))
     mean = F.avg("logit_to_visit").over(Window.partitionBy(F.lit(1)))
     return segments.withColumn("prob_visit_score", ratio(F.col("logit_to_visit"), mean))

@@ -27,6 +27,11 @@ def _product_aggregates() -> dict:
     }
 
 
+def _with_uid(key: Sequence[str]) -> list[str]:
+    """The key and ``uid``, which orders users that are equal otherwise."""
+    return [*key] if "uid" in key else [*key, "uid"]
+
+
 def visit_profile(costed: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """The distinct visits (user, time, channel, stars), each with the totals of its
     user and channel, and of its user, channel and stars.
@@ -61,18 +66,18 @@ def customer_contribution(visits: DataFrame, key: Sequence[str] = ("uid",)) -> D
     return contribution(visits, key, BID_COLUMNS)
 
 
-def visit_rank(contributions: DataFrame) -> DataFrame:
+def visit_rank(contributions: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """Per user: ``VISIT_RANK`` in hundredths by total impressions, ties by ``uid``, and
     ``VISIT_RANK2``, the dense rank of the hundredths by their impressions.
     """
-    users = contributions.select("uid", "sum_visit_impr")
+    users = contributions.select(*_with_uid(key), "sum_visit_impr")
     order = {"impressions": F.col("sum_visit_impr"), "uid": F.col("uid")}
     ranked = ntile(users, fv.VISIT_TILES, order, "VISIT_RANK")
     tiles = ranked.groupBy("VISIT_RANK").agg(F.sum("sum_visit_impr").alias("visits"))
     # One row per hundredth.
     tiles = tiles.select("VISIT_RANK", F.dense_rank().over(Window.orderBy("visits")).alias("VISIT_RANK2"))
     return ranked.join(F.broadcast(tiles), "VISIT_RANK", "left").select(
-        "uid", "sum_visit_impr", "VISIT_RANK", "VISIT_RANK2"
+        *_with_uid(key), "sum_visit_impr", "VISIT_RANK", "VISIT_RANK2"
     )
 
 
@@ -110,9 +115,9 @@ def channel_clicks_and_customers(channels: DataFrame, events: DataFrame) -> Data
     return channels.select("channel", "sum_visit_clicks").join(counts, "channel")
 
 
-def silver_visits(visits: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Visits with calendar columns and the rank of their user. Needs ``uid`` on both sides."""
-    return with_calendar(visits).join(ranks.select("uid", "sum_visit_impr", "VISIT_RANK2"), "uid", "left")
+def silver_visits(visits: DataFrame, ranks: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+    """Visits with calendar columns and the rank of their user."""
+    return with_calendar(visits).join(ranks.select(*key, "sum_visit_impr", "VISIT_RANK2"), list(key), "left")
 
 
 def user_totals(costed: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
@@ -126,9 +131,9 @@ def user_totals(costed: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     )
 
 
-def segment_revenue(totals: DataFrame, ranks: DataFrame) -> DataFrame:
+def segment_revenue(totals: DataFrame, ranks: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """Revenue by user segment. ``cpm`` is the mean cost per impression, as it is customarily named."""
-    users = totals.join(ranks.select("uid", "VISIT_RANK2"), "uid", "left")
+    users = totals.join(ranks.select(*key, "VISIT_RANK2"), list(key), "left")
     return users.groupBy("VISIT_RANK2").agg(
         F.sum("user_impr").alias("impr"),
         F.sum("user_clicks").alias("clicks"),
@@ -141,10 +146,9 @@ def segment_revenue(totals: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
-def silver_summary(silver: DataFrame) -> DataFrame:
+def silver_summary(silver: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """Visits by user, channel, stars and calendar day. ``total_impr`` adds the user's total once per visit."""
-    keys = ["month", "weekofyear", "dayofweek", "uid", "channel", "product_stars"]
-    return silver.groupBy(*keys).agg(
+    return silver.groupBy("month", "weekofyear", "dayofweek", *key, "channel", "product_stars").agg(
         F.sum("visit_impr").alias("impr"),
         F.sum("sum_visit_impr").alias("total_impr"),
         F.sum("visit_clicks").alias("clicks"),
@@ -155,10 +159,10 @@ def silver_summary(silver: DataFrame) -> DataFrame:
     )
 
 
-def daily_user_rollup(summary: DataFrame) -> DataFrame:
+def daily_user_rollup(summary: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
     """The summary by user and calendar day; "first" is the first by channel and stars."""
     first = F.struct("channel", "product_stars")
-    return summary.groupBy("month", "weekofyear", "dayofweek", "uid").agg(
+    return summary.groupBy("month", "weekofyear", "dayofweek", *key).agg(
         F.min_by("channel", first).alias("channel"),
         F.avg("product_stars").alias("avg_product_stars"),
         F.sum("impr").alias("sum_impr"),

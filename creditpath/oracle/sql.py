@@ -492,6 +492,9 @@ SELECT start_state, end_state, cast(sum(nstate_trainsitions) AS bigint) AS ntran
 FROM t_up GROUP BY start_state, end_state
 """
 RESULTS["edges_per_user"] = "SELECT uid, count(*) AS cnt FROM t_um GROUP BY uid"
+RESULTS["transitions_per_user"] = """
+SELECT uid, cast(sum(total_transitions_per_user) AS bigint) AS transitions FROM t_score GROUP BY uid
+"""
 RESULTS["converting_edges"] = RESULTS["user_transition_matrix"] + " WHERE end_state = 'Conversion'"
 
 # --- Spend reports

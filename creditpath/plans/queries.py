@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from creditpath import fixed_values as fv
 from creditpath.functions import calendar_features, ctr_of_rank, like_of_stars
 from creditpath.operators import allocation, enrich, explore, journeys, markov, model, risk, scoring, spend, visits
-from creditpath.plans.stages import Stages, named
+from creditpath.plans.stages import KEYED, Stages, named
 from creditpath.session import scratch_path
 from creditpath.sources import tables
 from creditpath.sources.event_log import JOURNEY, read_events, with_channel
@@ -175,7 +175,7 @@ def calendar(s: Stages) -> DataFrame:
 
 @query
 def customer_contribution(s: Stages) -> DataFrame:
-    return s.contributions
+    return s.contributions.drop(*JOURNEY)
 
 
 @query
@@ -192,12 +192,12 @@ def channel_contribution_ranked(s: Stages) -> DataFrame:
 
 @query
 def visit_rank(s: Stages) -> DataFrame:
-    return visits.visit_rank(s.contributions)
+    return visits.visit_rank(s.contributions, JOURNEY).drop(*JOURNEY)
 
 
 @query
 def rank_extremes(s: Stages) -> DataFrame:
-    return visits.rank_extremes(visits.visit_rank(s.contributions))
+    return visits.rank_extremes(visits.visit_rank(s.contributions, JOURNEY))
 
 
 @query
@@ -214,17 +214,17 @@ def click_deciles(s: Stages) -> DataFrame:
 
 @query
 def silver_visits(s: Stages) -> DataFrame:
-    return s.silver
+    return s.silver.drop(*JOURNEY)
 
 
 @query
 def user_totals(s: Stages) -> DataFrame:
-    return s.user_totals
+    return s.user_totals.drop(*JOURNEY)
 
 
 @query
 def segment_revenue(s: Stages) -> DataFrame:
-    return visits.segment_revenue(s.user_totals, s.ranks)
+    return visits.segment_revenue(s.user_totals, s.ranks, JOURNEY)
 
 
 @query
@@ -234,12 +234,12 @@ def impression_percentiles(s: Stages) -> DataFrame:
 
 @query
 def silver_summary(s: Stages) -> DataFrame:
-    return s.summary
+    return s.summary.drop(*JOURNEY)
 
 
 @query
 def daily_user_rollup(s: Stages) -> DataFrame:
-    return visits.daily_user_rollup(s.summary)
+    return visits.daily_user_rollup(s.summary, KEYED).drop(*JOURNEY)
 
 
 @query
@@ -249,7 +249,7 @@ def quality_checks(s: Stages) -> DataFrame:
 
 @query
 def clicks_over_impressions(s: Stages) -> DataFrame:
-    return visits.clicks_over_impressions(s.summary)
+    return visits.clicks_over_impressions(s.summary).drop(*JOURNEY)
 
 
 @query
@@ -369,7 +369,7 @@ def browse_by_state(s: Stages) -> DataFrame:
 
 @query
 def browse_probability(s: Stages) -> DataFrame:
-    return s.browse
+    return named(s.browse)
 
 
 @query
@@ -379,12 +379,12 @@ def user_row_sums(s: Stages) -> DataFrame:
 
 @query
 def channel_risk_score(s: Stages) -> DataFrame:
-    return s.risk_scores
+    return named(s.risk_scores)
 
 
 @query
 def user_risk(s: Stages) -> DataFrame:
-    return s.user_risk
+    return named(s.user_risk)
 
 
 @query
@@ -417,6 +417,11 @@ def edges_per_user(s: Stages) -> DataFrame:
     return named(risk.edges_per_user(s.user_matrix, JOURNEY))
 
 
+@query
+def transitions_per_user(s: Stages) -> DataFrame:
+    return named(risk.transitions_per_user(s.risk_scores, JOURNEY))
+
+
 @query
 def converting_edges(s: Stages) -> DataFrame:
     return named(risk.converting_edges(s.user_matrix))
@@ -487,7 +492,7 @@ def score_bid_units_by_segment(s: Stages) -> DataFrame:
 
 @query
 def visit_scores(s: Stages) -> DataFrame:
-    return scoring.visit_scores(s.browse, s.ranks)
+    return scoring.visit_scores(s.browse, s.ranks, JOURNEY)
 
 
 @query

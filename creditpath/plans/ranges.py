@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from creditpath.functions import position_in, tile_of_row
 from creditpath.plans.cuts import literal_array
-from creditpath.plans.small import pin_counted
+from creditpath.plans.small import pin_counted, settle
 
 # Rows per bucket to aim for, and how many buckets there may be.
 BUCKET_ROWS = 50_000
@@ -58,6 +58,7 @@ def ntile(rows: DataFrame, tiles: int, order: dict[str, Column], name: str) -> D
         tile_of_row(F.col("_offset") + 1, n_rows, tiles).alias("_low"),
         tile_of_row(F.col("_offset") + F.col("_n"), n_rows, tiles).alias("_high"),
     )
+    totals = settle(totals)
     found = placed.join(F.broadcast(totals), BUCKET)
     inside = found.where("_low = _high").withColumn(name, F.col("_low"))
     window = Window.partitionBy(BUCKET).orderBy(*order.values())
@@ -76,7 +77,7 @@ def share_within(
     placed = with_buckets(rows, total, order)
     totals = placed.groupBy(BUCKET).agg(F.sum(weight).alias("_sum"))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(BUCKET, "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_used"))
+    totals = settle(totals.select(BUCKET, "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_used")))
     found = placed.join(F.broadcast(totals), BUCKET).withColumn("_room", capacity)
     whole = found.where("_used + _sum <= _room").withColumn(name, F.lit(1.0))
     none = found.where("_used >= _room").withColumn(name, F.lit(0.0))

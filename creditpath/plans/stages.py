@@ -14,16 +14,25 @@ from creditpath.sources.event_log import JOURNEY, ad_events, read_events, uid
 SPLIT = {"train": 0.8, "val": 0.2}
 
 
+# The journey columns beside the ``uid`` made of them.
+KEYED = (*JOURNEY, "uid")
+
+
+def with_uid(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("uid", uid())
+
+
 def named(rows: DataFrame) -> DataFrame:
     """Replace the three journey columns by the one ``uid``."""
-    return rows.withColumn("uid", uid()).drop(*JOURNEY)
+    return with_uid(rows).drop(*JOURNEY)
 
 
 class Stages:
     """Lazy DataFrames over the events of ``data_dir``.
 
     Journey-level steps are keyed by (user, day, leg), so they keep the one
-    shuffle on (user, day) that the event log needs anyway.
+    shuffle on (user, day) that the event log needs anyway. Joins keep it too,
+    as they may be partitioned by a part of their keys.
     """
 
     def __init__(self, spark: SparkSession, data_dir: str, hot_rows: int = HOT_ROWS):
@@ -31,6 +40,7 @@ class Stages:
         self.data_dir = data_dir
         self.hot_rows = hot_rows
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -50,20 +60,20 @@ class Stages:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return named(visits.customer_contribution(self.visits, JOURNEY))
+        return with_uid(visits.customer_contribution(self.visits, JOURNEY))
 
     @cached_property
     def ranks(self) -> DataFrame:
         """User ranks, written once: several later steps join them."""
-        return pin(visits.visit_rank(self.contributions))
+        return pin(visits.visit_rank(self.contributions, JOURNEY))
 
     @cached_property
     def silver(self) -> DataFrame:
-        return visits.silver_visits(named(self.visits), self.ranks)
+        return with_uid(visits.silver_visits(self.visits, self.ranks, JOURNEY))
 
     @cached_property
     def summary(self) -> DataFrame:
-        return visits.silver_summary(self.silver)
+        return visits.silver_summary(self.silver, KEYED)
 
     @cached_property
     def split(self) -> dict[str, DataFrame]:
@@ -71,7 +81,7 @@ class Stages:
 
     @cached_property
     def user_totals(self) -> DataFrame:
-        return named(visits.user_totals(self.costed, JOURNEY))
+        return with_uid(visits.user_totals(self.costed, JOURNEY))
 
     @cached_property
     def transitions(self) -> DataFrame:
@@ -108,15 +118,15 @@ class Stages:
 
     @cached_property
     def browse(self) -> DataFrame:
-        return named(risk.browse_probability(self.ends, JOURNEY))
+        return risk.browse_probability(self.ends, JOURNEY)
 
     @cached_property
     def risk_scores(self) -> DataFrame:
-        return named(risk.channel_risk_score(self.probabilities, JOURNEY))
+        return risk.channel_risk_score(self.probabilities, JOURNEY)
 
     @cached_property
     def user_risk(self) -> DataFrame:
-        return risk.user_risk(self.risk_scores, self.ranks, self.browse)
+        return risk.user_risk(self.risk_scores, self.ranks, self.browse, JOURNEY)
 
     @cached_property
     def campaign_spend(self) -> DataFrame:
@@ -129,7 +139,7 @@ class Stages:
     @cached_property
     def seeker(self) -> DataFrame:
         aversion = risk.segment_risk_aversion(self.user_risk)
-        return scoring.risk_seeker_score(aversion, scoring.visit_scores(self.browse, self.ranks))
+        return scoring.risk_seeker_score(aversion, scoring.visit_scores(self.browse, self.ranks, JOURNEY))
 
     @cached_property
     def kpis(self) -> DataFrame:

@@ -57,7 +57,7 @@ def test_removal_effect(stages, mode, base, effects):
 def test_browse_probability_equals_its_long_form(stages):
     exposure = risk.state_exposure(stages.probabilities, JOURNEY)
     long = named(risk.browse_by_state(exposure, JOURNEY)).groupBy("uid").agg(F.sum("to_browse").alias("long"))
-    both = stages.browse.join(long, "uid", "full")
+    both = named(stages.browse).join(long, "uid", "full")
     assert both.count() == 3856
     assert both.where("prob_to_browse IS NULL OR long IS NULL OR abs(prob_to_browse - long) > 1e-12").isEmpty()
 
