@@ -22,25 +22,31 @@ from creditpath.plans.cuts import literal_array
 
 # A key with more rows than this is cut; a table with fewer rows cannot hold such a key.
 HOT_ROWS = 1_000_000
-# Rows drawn to find hot keys, whatever the size of the table.
+# Most rows drawn to find hot keys, whatever the size of the table.
 SAMPLE_ROWS = 4_000_000
-# Sampled rows a key needs before it counts as hot.
-MIN_HITS = 20
+# Sampled rows that a key of HOT_ROWS should have, and the fewest that count as hot.
+HITS, MIN_HITS = 100, 20
 
 SLICE = "slice"
 
 
 def hot_key_cuts(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, sample_rows: int = SAMPLE_ROWS
+    rows: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+    total: int | None = None,
 ) -> Column | None:
     """The (key, order) points where hot keys are cut, sorted; None when no key is hot.
 
     There are at most ``sample_rows / MIN_HITS`` of them at any table size.
+    ``total`` is the number of rows, or more, where that is known already.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= hot_rows:
         return None
-    fraction = min(1.0, sample_rows / total)
+    fraction = min(1.0, HITS / hot_rows, sample_rows / total)
     hits = max(MIN_HITS, int(hot_rows * fraction))
     sample = rows.select(*key, F.struct(*key, *order).alias("at"))
     if fraction < 1.0:

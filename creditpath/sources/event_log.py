@@ -59,13 +59,20 @@ def ad_events(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.when(F.col("event_type").isin("click", "purchase"), 1).otherwise(0).alias("click"),
         (1 + F.col("event_id") % fv.STARS).cast("int").alias("product_stars"),
     )
-    cuts = hot_key_cuts(rows, DAY, ORDER, hot_rows)
+    total = raw.count()
+    cuts = hot_key_cuts(rows, DAY, ORDER, hot_rows, total=total)
     rows = with_slices(rows, DAY, ORDER, cuts)
     rows = running_sum_before(rows, DAY, ORDER, "conversion", "leg")
-    events = rows.drop(SLICE).select(
+    rows = rows.withColumn("leg", F.col("leg").cast("int"))
+    if cuts is not None:
+        # Only a hot day can hold a hot journey.
+        hot_days = rows.where(F.col(SLICE).isNotNull())
+        cuts = hot_key_cuts(hot_days, JOURNEY, ORDER, hot_rows, total=total)
+        rows = with_slices(rows.drop(SLICE), JOURNEY, ORDER, cuts)
+    events = rows.select(
         "user_id",
         "day",
-        F.col("leg").cast("int").alias("leg"),
+        "leg",
         "event_id",
         "time",
         F.when(F.col("conversion") == 1, "conversion").otherwise("impression").alias("interaction"),
@@ -73,7 +80,6 @@ def ad_events(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "conversion",
         "click",
         "product_stars",
+        *[name for name in rows.columns if name == SLICE],
     )
-    if cuts is not None:
-        events = with_slices(events, JOURNEY, ORDER, hot_key_cuts(events, JOURNEY, ORDER, hot_rows))
     return events.withColumn("uid", uid())
