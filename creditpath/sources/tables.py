@@ -89,7 +89,10 @@ def upsert_table(spark: SparkSession, name: str, updates: DataFrame, keys: Seque
 
 
 def write_clustered(df: DataFrame, path: str, by: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Write parquet in ranges of ``by``, so that a filter on it skips files and row groups."""
+    """Write parquet in ranges of ``by``, so that a filter on it skips files and row groups.
+
+    Rows equal in all of ``by`` stay together; add columns such as the time when one value has very many.
+    """
     ranges = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     ranges.sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
