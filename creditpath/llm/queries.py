@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from creditpath.llm import sql
+from creditpath.llm.chat import chat_digest, events_of_turns, format_chats
 from creditpath.llm.common import table
 from creditpath.llm.decontamination import contamination_digest
+from creditpath.llm.quality_rules import quality_rules
+from creditpath.llm.secrets import secret_digest
 from creditpath.llm.simhash import near_duplicate_classes
 
 
@@ -16,16 +19,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_digest(format_chats(events_of_turns(turns.unionByName(extra))))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op3_quality_rules": op3_quality_rules,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_secret_scans": op9_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.DECONTAMINATION}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op2_chat_formatting": sql.CHATS}
