@@ -10,6 +10,9 @@ from creditpath.llm import sql
 from creditpath.llm.chat import chat_digest, events_of_turns, format_chats
 from creditpath.llm.common import table
 from creditpath.llm.decontamination import contamination_digest
+from creditpath.llm.html_extraction import extracted
+from creditpath.llm.language_id import languages
+from creditpath.llm.quality_classifier import quality_scores
 from creditpath.llm.quality_rules import quality_rules
 from creditpath.llm.secrets import secret_digest
 from creditpath.llm.simhash import near_duplicate_classes
@@ -31,6 +34,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -44,6 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_quality_rules": op3_quality_rules,
+        "op4_html_extraction": op4_html_extraction,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op7_language_id": op7_language_id,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_secret_scans": op9_secret_scans,
     }
