@@ -60,3 +60,9 @@ def literal_array(values: Iterable, element: str) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def sum_at(places: Column, weights: Iterable[float], start: float = 0.0) -> Column:
+    """``start`` and the sum of the constant ``weights`` at an array of places (from 0)."""
+    known = literal_array(weights, "double")
+    return F.aggregate(places, F.lit(start), lambda seen, at: seen + F.get(known, at))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditpath.llm.common import BROADCAST_ROWS, SPACES, hinted, literal_array, words_between
+from creditpath.llm.common import BROADCAST_ROWS, SPACES, hinted, sum_at, words_between
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -121,10 +121,9 @@ def quality_rules(
     are never trusted; with no trusted document every score is 0. Further columns are ignored.
     """
     ratios = fit_log_ratios(documents, trusted, buckets, broadcast_rows)
-    weights = literal_array(ratios, "double")
     counted = text_counts(documents.select("doc_id", "text"))
     chosen = _buckets(F.col("_hashes"), buckets)
-    total = F.aggregate(chosen, F.lit(0.0), lambda seen, b: seen + F.get(weights, b))
+    total = sum_at(chosen, ratios)
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.select(

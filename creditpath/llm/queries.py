@@ -12,6 +12,8 @@ from creditpath.llm.common import table
 from creditpath.llm.decontamination import contamination_digest
 from creditpath.llm.html_extraction import extracted
 from creditpath.llm.language_id import languages
+from creditpath.llm.license_scan import licenses
+from creditpath.llm.mixing import domains_of, mixture
 from creditpath.llm.quality_classifier import quality_scores
 from creditpath.llm.quality_rules import quality_rules
 from creditpath.llm.secrets import secret_digest
@@ -42,6 +44,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = domains_of(table(spark, sf_dir, "labels"))
+    return mixture(table(spark, sf_dir, "documents"), labelled, columns=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -61,9 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_html_extraction": op4_html_extraction,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_license_scans": op6_license_scans,
         "op7_language_id": op7_language_id,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_secret_scans": op9_secret_scans,
+        "op10_mixing": op10_mixing,
     }
 
 
