@@ -40,19 +40,22 @@ def allocate(
     """Add value ``v``, weight ``w``, share ``x`` in 0..1 and ``opt_result`` (1 from one half up).
 
     Units of equal value per weight are taken in the order of ``key``, which must be unique.
+    A unit without a known weight or value cannot be ranked: it is kept with ``x`` 0.
     """
     units = settle(kpis.withColumns({"v": value, "w": F.col("spend") - F.col("revenue") / F.lit(target)}))
     found = units.agg(
         F.count(F.lit(1)).alias("total"),
         F.min("v").alias("least"),
-        F.sum(F.greatest(-F.col("w"), F.lit(0.0))).alias("room"),
+        F.sum(F.when(F.col("v").isNotNull(), F.greatest(-F.col("w"), F.lit(0.0)))).alias("room"),
     ).first()
     if found["least"] is not None and found["least"] < 0:
         raise NegativeValueError("the objective needs values of at least 0")
-    free = units.where("w <= 0").withColumn("x", F.lit(1.0))
+    ranked = units.where("v IS NOT NULL AND w IS NOT NULL")
+    unknown = units.where("v IS NULL OR w IS NULL").withColumn("x", F.lit(0.0))
+    free = ranked.where("w <= 0").withColumn("x", F.lit(1.0))
     order = {"density": -F.col("v") / F.col("w")} | {name: F.col(name) for name in key}
-    paid = share_within(units.where("w > 0"), found["total"], order, "w", F.lit(found["room"]), "x")
-    chosen = free.unionByName(paid)
+    paid = share_within(ranked.where("w > 0"), found["total"], order, "w", F.lit(found["room"]), "x")
+    chosen = free.unionByName(paid).unionByName(unknown)
     return chosen.withColumn("opt_result", F.when(F.col("x") >= 0.5, 1).otherwise(0))
 
 

@@ -14,8 +14,6 @@ from creditpath.plans.small import settle
 BASE = "(none)"
 # Walks without repeated states are kept per set of visited states, of which there are 2**channels.
 MAX_SIMPLE_PATH_CHANNELS = 16
-# Up to this many states there are fewer than 20,000 walks.
-FEW_STATES = 9
 
 
 def transition_matrix(transitions: DataFrame) -> DataFrame:
@@ -116,9 +114,6 @@ def _simple_path(graphs: DataFrame) -> DataFrame:
         F.lit(1.0).alias("p"),
         F.lit(0.0).alias("won"),
     )
-    if rounds <= FEW_STATES:
-        # So few walks that one task is enough; without shuffles all rounds are one stage.
-        walks = walks.coalesce(1)
     for _ in range(rounds):
         # What has been won stays in a row of its own, whose state has no moves.
         steps = walks.join(F.broadcast(moves), ["removed", "state"], "left")

@@ -43,6 +43,9 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    chosen = spark.sparkContext.getCheckpointDir()
+    if chosen:
+        return chosen
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     local = os.path.join(tempfile.gettempdir(), "creditpath-" + spark.sparkContext.applicationId)
