@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditpath.llm.common import BROADCAST_ROWS, lower_ascii, sha256_hex, small_enough, words_between
+from creditpath.llm.common import BROADCAST_ROWS, lower_ascii, sha256_hex, small_enough, stash, words_between
 
 WINDOW, GRAM = 10, 5
 # Everything but digits, letters a-z and characters beyond ASCII separates words.
@@ -80,6 +80,8 @@ def _located(docs: DataFrame, prints: DataFrame, width: int, broadcast_rows: int
         flagged = F.broadcast(prints.withColumn("_known", F.lit(True)))
         each = docs.withColumn("print", F.explode(F.concat("_prints", nothing))).drop("_prints")
         return each.join(flagged, "print", "left").where("_known OR print IS NULL").drop("_known")
+    # Written, because the words are read twice and the optimizer would compute the hashes again for every place.
+    docs = stash(docs, "winnowed")
     found = docs.select("doc_id", "_text", F.explode("_prints").alias("print")).join(prints, "print", "left_semi")
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(
         F.collect_set("print").alias("_found")
