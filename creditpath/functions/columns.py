@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from creditpath import fixed_values as fv
 
-# Binary-search strides; arrays of up to 2**18 - 1 boundaries can be searched.
+# Binary-search strides, and how many boundaries they can search.
 _STRIDES = [1 << b for b in range(17, -1, -1)]
+MAX_BOUNDS = sum(_STRIDES)
 
 
 def hash01(key: Column, salt: str) -> Column:

@@ -75,10 +75,10 @@ def cost_enrich(events: DataFrame) -> DataFrame:
 def hash_split(rows: DataFrame, key: str, fractions: Mapping[str, float], salt: str = "split") -> dict[str, DataFrame]:
     """Named parts of ``rows``, each about as large as its fraction.
 
-    A key always falls in the same part, whatever the partitioning of the rows.
+    A key always falls in the same part, whatever the partitioning of the rows; NULL keys fall in the first.
     """
     total, low, parts = sum(fractions.values()), 0.0, {}
-    draw = hash01(F.col(key), salt)
+    draw = F.coalesce(hash01(F.col(key), salt), F.lit(0.0))
     for name, fraction in fractions.items():
         high = low + fraction / total
         parts[name] = rows.where((draw >= low) & (draw < high))

@@ -12,6 +12,8 @@ from creditpath.functions import ratio
 from creditpath.plans.skew import SLICE, is_sliced, join_slices, scan_key, slice_totals, slice_window
 
 ORDER = ("time", "event_id")
+# Events in one row of a journey; a longer journey has several rows.
+PART_STEPS = 100_000
 
 
 def journey_ends(events: DataFrame, key: Sequence[str] = ("uid",), order: Sequence[str] = ORDER) -> DataFrame:
@@ -45,35 +47,79 @@ def with_visit_order(events: DataFrame, key: Sequence[str] = ("uid",), order: Se
     return rows.withColumn("visit_order", order_in_journey.cast("int")).drop("_offset")
 
 
-def user_journey(events: DataFrame, key: Sequence[str] = ("uid",), order: Sequence[str] = ORDER) -> DataFrame:
+def with_journey_ends(events: DataFrame, key: Sequence[str] = ("uid",), order: Sequence[str] = ORDER) -> DataFrame:
+    """Add the event's ``position`` (from 0) and its journey's ``n_events``, first and last channel and outcome.
+
+    The outcome ``converted`` is the ``conversion`` of the last event.
+    """
+    window = Window.partitionBy(*scan_key(events, key)).orderBy(*order)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = events.withColumns(
+        {
+            "position": F.row_number().over(window).cast("long") - 1,
+            "n_events": F.count(F.lit(1)).over(whole),
+            "first_interaction": F.first("channel").over(whole),
+            "last_interaction": F.last("channel").over(whole),
+            "converted": F.last("conversion").over(whole),
+        }
+    )
+    if not is_sliced(events):
+        return rows
+    at = F.struct(*order)
+    slices = slice_window(key)
+    every = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {"first_interaction": F.min_by("channel", at), "last_interaction": F.max_by("channel", at)}
+    ends["converted"] = F.max_by("conversion", at)
+    found = slice_totals(events, key, _n=F.count(F.lit(1)), **{f"_{name}": end for name, end in ends.items()})
+    found = found.select(
+        *key,
+        SLICE,
+        (F.sum("_n").over(slices) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(every).alias("_all"),
+        F.first("_first_interaction").over(every).alias("_first"),
+        F.last("_last_interaction").over(every).alias("_last"),
+        F.last("_converted").over(every).alias("_converted"),
+    )
+    carried = F.col("_all").isNotNull()
+    return join_slices(rows, key, found).withColumns(
+        {
+            "position": F.col("position") + F.coalesce("_before", F.lit(0)),
+            "n_events": F.coalesce("_all", "n_events"),
+            "first_interaction": F.when(carried, F.col("_first")).otherwise(F.col("first_interaction")),
+            "last_interaction": F.when(carried, F.col("_last")).otherwise(F.col("last_interaction")),
+            "converted": F.when(carried, F.col("_converted")).otherwise(F.col("converted")),
+        }
+    ).drop("_before", "_all", "_first", "_last", "_converted")
+
+
+def user_journey(
+    events: DataFrame, key: Sequence[str] = ("uid",), order: Sequence[str] = ORDER, part_steps: int = PART_STEPS
+) -> DataFrame:
     """The path ``Start > channel > ... > Conversion`` (or ``Null``) of each journey.
 
-    A journey is one row with ``part`` 0. One that had to be sliced comes as
-    several rows, whose ``path`` and ``visiting_order`` joined by ``part`` are the whole.
+    Every ``part_steps`` events of a journey are one row, numbered by ``part`` from 0: the row's
+    place depends on the event's position alone. The ``path`` and ``visiting_order`` of a journey's
+    parts, joined in order, are the whole; its other columns are the same in each part.
     """
-    step = F.struct(*order, "channel", "conversion", "visit_order")
-    steps = with_visit_order(events, key, order)
-    by = scan_key(events, key)
-    rows = steps.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    steps = with_journey_ends(with_visit_order(events, key, order), key, order)
+    steps = steps.withColumn("part", F.floor(F.col("position") / F.lit(part_steps)).cast("int"))
+    whole = ["first_interaction", "last_interaction", "converted", "n_events"]
+    rows = steps.groupBy(*key, "part").agg(
+        F.array_sort(F.collect_list(F.struct("position", "channel", "visit_order"))).alias("steps"),
+        *[F.first(name).alias(name) for name in whole],
+    )
+    outcome = F.when(F.col("converted") == 1, CONVERSION).otherwise(NULL)
+    closes = F.col("part") == F.floor((F.col("n_events") - 1) / F.lit(part_steps))
     channels = F.array_join(F.col("steps.channel"), " > ")
-    ends = [F.element_at("steps.channel", 1), F.element_at("steps.channel", -1), F.element_at("steps.conversion", -1)]
-    names = ["first_interaction", "last_interaction", "conversion"]
-    part, opens, closes = F.lit(0), F.lit(True), F.lit(True)
-    if is_sliced(events):
-        part = F.coalesce(SLICE, F.lit(0))
-        hot = journey_ends(events.where(F.col(SLICE).isNotNull()), key, order).drop("n_events")
-        reach = events.where(F.col(SLICE).isNotNull()).groupBy(*key)
-        reach = reach.agg(F.min(SLICE).alias("_from"), F.max(SLICE).alias("_to"))
-        hot = hot.withColumnsRenamed({n: f"_{n}" for n in names}).join(reach, list(key))
-        rows = rows.join(F.broadcast(hot), list(key), "left")
-        ends = [F.coalesce(f"_{n}", e) for n, e in zip(names, ends)]
-        opens = F.col(SLICE).isNull() | (F.col(SLICE) == F.col("_from"))
-        closes = F.col(SLICE).isNull() | (F.col(SLICE) == F.col("_to"))
-    rows = rows.withColumns(dict(zip(names, ends)))
-    last = F.when(F.col("conversion") == 1, CONVERSION).otherwise(NULL)
-    path = F.concat_ws(" > ", F.when(opens, F.lit(START)), channels, F.when(closes, last))
+    path = F.concat_ws(" > ", F.when(F.col("part") == 0, F.lit(START)), channels, F.when(closes, outcome))
     return rows.select(
-        *key, part.alias("part"), path.alias("path"), *names, F.col("steps.visit_order").alias("visiting_order")
+        *key,
+        "part",
+        path.alias("path"),
+        "first_interaction",
+        "last_interaction",
+        F.col("converted").alias("conversion"),
+        F.col("steps.visit_order").alias("visiting_order"),
     )
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from creditpath.fixed_values import CONVERSION, NULL, START
 from creditpath.functions import ratio
-from creditpath.plans.small import settle
+from creditpath.plans.small import pin, settle
 
 BASE = "(none)"
-# Walks without repeated states are kept per set of visited states, of which there are 2**channels.
-MAX_SIMPLE_PATH_CHANNELS = 16
+# Rounds of the walk after which it is written, so that its plan stays short.
+PIN_ROUNDS = 8
+# The chain has settled when twice as many steps win no state more than this; so many doublings are made at most.
+TOLERANCE, MAX_DOUBLINGS = 1e-14, 60
 
 
 def transition_matrix(transitions: DataFrame) -> DataFrame:
@@ -83,26 +83,28 @@ def adjacency(graphs: DataFrame) -> DataFrame:
     )
 
 
-def conversion_probability(graphs: DataFrame, mode: str = "simple_path") -> DataFrame:
+def conversion_probability(
+    graphs: DataFrame, mode: str = "simple_path", max_channels: int | None = None
+) -> DataFrame:
     """The probability of reaching Conversion from Start in each graph.
 
     ``simple_path`` counts a return to a visited state as lost. ``absorbing`` is
     the Markov chain proper, where it is not. On acyclic graphs they agree.
+    Simple paths are kept per set of visited states, of which there may be 2**channels;
+    ``max_channels`` makes more channels an error (default: no bound).
     """
     if mode == "simple_path":
-        return _simple_path(graphs)
+        return _simple_path(graphs, max_channels)
     if mode == "absorbing":
-        solved = graphs.groupBy("removed").applyInPandas(_absorb, "removed string, conversion_probability double")
-        return solved
+        return _absorbing(graphs)
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _simple_path(graphs: DataFrame) -> DataFrame:
+def _simple_path(graphs: DataFrame, max_channels: int | None) -> DataFrame:
     graphs = settle(graphs)
     rounds = graphs.select("start_state").distinct().count()
-    if rounds > MAX_SIMPLE_PATH_CHANNELS + 1:
+    if max_channels is not None and rounds > max_channels + 1:
         raise ValueError(f"{rounds} states have too many simple paths; use mode='absorbing'")
-    # Fewer rows than the cube of the number of states, which was checked.
     moves = graphs.where(F.col("end_state") != NULL).select(
         "removed", F.col("start_state").alias("state"), "end_state", "transition_probability"
     )
@@ -114,9 +116,9 @@ def _simple_path(graphs: DataFrame) -> DataFrame:
         F.lit(1.0).alias("p"),
         F.lit(0.0).alias("won"),
     )
-    for _ in range(rounds):
+    for at in range(1, rounds + 1):
         # What has been won stays in a row of its own, whose state has no moves.
-        steps = walks.join(F.broadcast(moves), ["removed", "state"], "left")
+        steps = walks.join(moves, ["removed", "state"], "left")
         steps = steps.where(goal | F.col("end_state").isNull() | ~F.array_contains("visited", F.col("end_state")))
         gain = F.col("p") * F.col("transition_probability")
         open_ = F.col("end_state").isNotNull() & ~goal
@@ -133,24 +135,36 @@ def _simple_path(graphs: DataFrame) -> DataFrame:
             .groupBy("removed", "state", "visited")
             .agg(F.sum("p").alias("p"), F.sum("won").alias("won"))
         )
+        walks = pin(walks) if at % PIN_ROUNDS == 0 else walks
     return walks.groupBy("removed").agg(F.sum("won").alias("conversion_probability"))
 
 
-def _absorb(edges: pd.DataFrame) -> pd.DataFrame:
-    """Solve v = Q v + r for one graph, over the states that can reach Conversion."""
-    flow = edges.groupby(["start_state", "end_state"], as_index=False)["transition_probability"].sum()
-    alive, grown = set(), {CONVERSION}
-    while grown - alive:
-        alive |= grown
-        grown = set(flow.loc[flow.end_state.isin(alive), "start_state"])
-    states = sorted(alive - {CONVERSION})
-    value = 0.0
-    if START in states:
-        table = flow.pivot(index="start_state", columns="end_state", values="transition_probability")
-        table = table.reindex(index=states, columns=[*states, CONVERSION]).fillna(0.0).to_numpy()
-        solved = np.linalg.solve(np.eye(len(states)) - table[:, :-1], table[:, -1])
-        value = float(solved[states.index(START)])
-    return pd.DataFrame({"removed": [edges.removed.iloc[0]], "conversion_probability": [value]})
+def _absorbing(graphs: DataFrame) -> DataFrame:
+    """The chain after 1, 2, 4, ... steps, by joining its matrix with itself, until no state wins more.
+
+    Conversion leads to itself, so the column of Conversion is what has been won so far.
+    """
+    graphs = pin(graphs)
+    every = graphs.select("removed").distinct()
+    kept = graphs.where(F.col("end_state") != NULL).groupBy("removed", "start_state", "end_state")
+    kept = kept.agg(F.sum("transition_probability").alias("p"))
+    stay = every.select("removed", F.lit(CONVERSION).alias("start_state"), F.lit(CONVERSION).alias("end_state"), F.lit(1.0).alias("p"))
+    chain = pin(kept.unionByName(stay))
+    for _ in range(MAX_DOUBLINGS):
+        onward = chain.toDF("removed", "end_state", "next_state", "q")
+        ways = chain.join(onward, ["removed", "end_state"])
+        won = F.when((F.col("end_state") != CONVERSION) & (F.col("next_state") == CONVERSION), F.col("p") * F.col("q"))
+        twice = ways.groupBy("removed", "start_state", "next_state").agg(
+            F.sum(F.col("p") * F.col("q")).alias("p"), F.sum(won).alias("gain")
+        )
+        seen = Observation()
+        twice = pin(twice.observe(seen, F.max("gain").alias("gain")))
+        chain = twice.select("removed", "start_state", F.col("next_state").alias("end_state"), "p").where("p > 0")
+        if (seen.get["gain"] or 0.0) <= TOLERANCE:
+            break
+    reached = chain.where((F.col("start_state") == START) & (F.col("end_state") == CONVERSION)).select("removed", "p")
+    found = every.join(reached, "removed", "left")
+    return found.select("removed", F.coalesce("p", F.lit(0.0)).alias("conversion_probability"))
 
 
 def removal_effect(probabilities: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ def score_bid_units(silver: DataFrame, predictions: str | None = None, rank_on:
     rows = rows.select("month", "weekofyear", "VISIT_RANK2", *ROW_KEY, *PREDICTED).withColumnsRenamed(PREDICTED)
     if rank_on == "segment":
         segments = rows.select("VISIT_RANK2").distinct()
-        rows = rows.join(segment_tiles(segments), "VISIT_RANK2")
+        tiles = segment_tiles(segments).withColumnRenamed("VISIT_RANK2", "_segment")
+        # A visit without a segment is in the tenth of NULL, not dropped.
+        rows = rows.join(F.broadcast(tiles), F.col("VISIT_RANK2").eqNullSafe(F.col("_segment"))).drop("_segment")
     else:
         order = {"segment": F.col("VISIT_RANK2")} | {name: F.col(name) for name in ROW_KEY}
         rows = ntile(rows, fv.RANK_TILES, order, "user_rank")

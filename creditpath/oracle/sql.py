@@ -595,17 +595,17 @@ SELECT sum(revenue) / sum(impr_pred) AS c1, sum(revenue) / sum(exp_clicks) AS c2
 RESULTS["scale_constants"] = f"SELECT {r('c1', 'c2', 'c3')} FROM t_const"
 
 
-def allocation(value: str) -> str:
+def allocation(value: str, spend: str = "spend") -> str:
     return f"""
     SELECT *, CASE WHEN x >= 0.5 THEN 1 ELSE 0 END AS opt_result
-    FROM (SELECT *, CASE WHEN w <= 0 OR used <= room THEN 1.0::double WHEN used - w >= room THEN 0.0::double
+    FROM (SELECT *, CASE WHEN w IS NULL THEN 0.0::double WHEN w <= 0 OR used <= room THEN 1.0::double WHEN used - w >= room THEN 0.0::double
                          ELSE (room - (used - w)) / w END AS x
           FROM (SELECT *, sum(CASE WHEN w > 0 THEN w ELSE 0 END) OVER (
                             ORDER BY CASE WHEN w > 0 THEN 1 ELSE 0 END, CASE WHEN w > 0 THEN v / w END DESC,
                             month, weekofyear, user_rank, channel, product_stars
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used,
                        -sum(CASE WHEN w <= 0 THEN w ELSE 0 END) OVER () AS room
-                FROM (SELECT *, {value} AS v, spend - revenue / 0.7::double AS w FROM t_kpi) a) b) c
+                FROM (SELECT * REPLACE ({spend} AS spend), {value} AS v, {spend} - revenue / 0.7::double AS w FROM t_kpi) a) b) c
     """
 
 
@@ -617,6 +617,8 @@ RESULTS["allocate_budget"] = f"""
 SELECT month, weekofyear, user_rank, channel, product_stars, {r("spend", "revenue", "v", "w", "x")}, opt_result FROM t_chosen
 """
 RESULTS["allocate_budget_with_risk"] = RESULTS["allocate_budget"].replace("t_chosen", "t_chosen_risk")
+PARTS["t_chosen_known"] = allocation("revenue", "CASE WHEN channel <> 'Affiliates' THEN spend END")
+RESULTS["allocate_with_missing_rates"] = RESULTS["allocate_budget"].replace("t_chosen", "t_chosen_known")
 RESULTS["allocation_summary"] = """
 SELECT channel, opt_result, cast(sum(impr_pred) AS bigint) AS impr, cast(sum(clicks_pred) AS bigint) AS clicks,
        cast(sum(txns_pred) AS bigint) AS txns, round(avg(cpi_pred), 6) AS cpm, round(avg(cpc_pred), 6) AS cpc,

@@ -151,7 +151,7 @@ def upsert(s: Stages) -> DataFrame:
     known = _flat(journeys.user_journey(s.events.where(noon), JOURNEY))
     whole = _flat(journeys.user_journey(s.events, JOURNEY))
     late = named(s.events.where(~noon).select(*JOURNEY).distinct())
-    return tables.upsert(known, whole.join(late, "uid", "left_semi"), ["uid", "part"])
+    return tables.upsert(known, whole.join(late, "uid", "left_semi"), ["uid"], ["part"])
 
 
 @query
@@ -523,6 +523,13 @@ def allocate_budget_with_risk(s: Stages) -> DataFrame:
     return s.chosen("risk").select(*_ALLOCATION)
 
 
+@query
+def allocate_with_missing_rates(s: Stages) -> DataFrame:
+    """The allocation where the rates of one channel are not known: its units are kept, with nothing spent on them."""
+    known = s.kpis.withColumn("spend", F.when(F.col("channel") != "Affiliates", F.col("spend")))
+    return allocation.allocate(known, allocation.revenue_value()).select(*_ALLOCATION)
+
+
 @query
 def allocation_summary(s: Stages) -> DataFrame:
     return allocation.allocation_summary(s.chosen("revenue"))

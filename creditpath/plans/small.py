@@ -1,4 +1,4 @@
-"""Fixing a small intermediate result so that later steps do not recompute it."""
+"""Fixing an intermediate result so that later steps do not recompute it."""
 
 from __future__ import annotations
 
@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from creditpath.session import scratch_dir
 
-SMALL_ROWS = 20_000
+# A settled result is broadcast in joins only when it was counted and has no more rows than this.
+BROADCAST_ROWS = 20_000
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute ``df`` once. Up to ``max_rows`` rows become a local relation, whose
-    exact size Spark knows when it picks a join; anything larger is checkpointed.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, schema=df.schema)
-    return pin(df)
+def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute ``df`` once, at any size. A result of at most ``max_rows`` rows is marked for a broadcast."""
+    pinned, n_rows = pin_counted(df)
+    return F.broadcast(pinned) if n_rows <= max_rows else pinned
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditpath.plans.small import pin
 from creditpath.session import scratch_path
 from creditpath.sources.schemas import AD_SPEND
 
@@ -55,6 +56,12 @@ def insert(df: DataFrame, name: str) -> None:
     df.write.insertInto(name)
 
 
+def create_new(df: DataFrame, name: str) -> DataFrame:
+    """Create a table from a query; an error if there is one of that name."""
+    df.write.mode("errorifexists").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def merged(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``target`` with the rows of ``updates`` replaced by key or added."""
     kept = target.join(updates.select(*keys), list(keys), "left_anti")
@@ -68,18 +75,24 @@ def require_unique(rows: DataFrame, keys: Sequence[str]) -> None:
         raise DuplicateKeyError(f"duplicate keys in {list(keys)}")
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The upsert as a DataFrame, after checking that the updates have one row per key."""
-    require_unique(updates, keys)
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
+    """The upsert as a DataFrame, after checking that the updates have one row per key.
+
+    Where something comes in several rows, ``parts`` tells them apart: all rows of a key
+    are replaced together, so none of an older, longer version stays.
+    """
+    updates = pin(updates)
+    require_unique(updates, [*keys, *parts])
     return merged(target, updates, keys)
 
 
 def upsert_table(spark: SparkSession, name: str, updates: DataFrame, keys: Sequence[str], location: str) -> DataFrame:
-    """Upsert into an external parquet table.
+    """Upsert into an external parquet table; the updates are computed once.
 
     The merged rows go to a new folder under ``location``; readers see them once
     the table is pointed there, and the files of the old version stay readable.
     """
+    updates = pin(updates)
     require_unique(updates, keys)
     path = f"{location.rstrip('/')}/{scratch_path(spark, 'version').rsplit('/', 1)[1]}"
     merged(spark.table(name), updates, keys).write.parquet(path)

@@ -15,9 +15,9 @@ EXAMPLE = [
 SCHEMA = "start_state string, end_state string, transition_probability double"
 
 
-def _solved(spark, edges, mode):
+def _solved(spark, edges, mode, **options):
     graphs = markov.removal_graphs(spark.createDataFrame(edges, SCHEMA))
-    return markov.conversion_probability(graphs, mode)
+    return markov.conversion_probability(graphs, mode, **options)
 
 
 @pytest.mark.parametrize("mode", ["simple_path", "absorbing"])
@@ -87,9 +87,16 @@ def test_too_many_states_for_simple_paths(spark):
     names = [f"c{i:02}" for i in range(20)]
     edges = [("Start", names[0], 1.0)] + [(n, "Conversion", 1.0) for n in names]
     with pytest.raises(ValueError, match="absorbing"):
-        _solved(spark, edges, "simple_path")
+        _solved(spark, edges, "simple_path", max_channels=16)
+    for mode in ("simple_path", "absorbing"):
+        base = _solved(spark, edges, mode).where("removed = '(none)'").first()
+        assert base.conversion_probability == pytest.approx(1.0)
+
+
+def test_states_that_never_leave_win_nothing(spark):
+    edges = [("Start", "a", 0.5), ("Start", "Conversion", 0.5), ("a", "b", 1.0), ("b", "a", 1.0)]
     base = _solved(spark, edges, "absorbing").where("removed = '(none)'").first()
-    assert base.conversion_probability == pytest.approx(1.0)
+    assert base.conversion_probability == pytest.approx(0.5)
 
 
 PATH = (

@@ -1,11 +1,15 @@
 """Slicing a hot key changes how the work is divided and nothing else."""
 
 import pytest
-from conftest import rows_of
+from __spark_entry__ import oracle_sql
+from conftest import DATA, rows_of
 from creditpath.operators import enrich, journeys, risk, visits
+from creditpath.plans import queries as named_queries
 from creditpath.plans import skew
+from creditpath.plans.stages import Stages
 from creditpath.sources.event_log import JOURNEY, ad_events
 from pyspark.sql import functions as F
+from tools.compare import connect, difference
 
 
 @pytest.fixture(scope="module")
@@ -44,14 +48,33 @@ def test_ordered_operators_are_equal(plain, sliced, by):
     assert rows_of(journeys.journey_ends(plain, by)) == rows_of(journeys.journey_ends(sliced, by))
 
 
+@pytest.mark.parametrize("part_steps", [1, 50, 100_000])
+def test_journeys_do_not_depend_on_the_slices(plain, sliced, part_steps):
+    one, two = (journeys.user_journey(e, part_steps=part_steps) for e in (plain, sliced))
+    assert rows_of(one) == rows_of(two)
+
+
+@pytest.mark.parametrize("name", ["user_journey", "upsert", "transitions", "visit_profile", "user_risk"])
+def test_sliced_queries_equal_their_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(skew, "MIN_HITS", 1)
+    folder = f"{DATA}/sf0.001"
+    stages = Stages(spark, folder, hot_rows=3)
+    assert skew.is_sliced(stages.events)
+    found = named_queries.rounded(getattr(named_queries, name)(stages))
+    assert difference(found, connect(folder), oracle_sql()[name]) is None
+
+
 def test_parts_of_a_journey_join_to_the_whole(plain, sliced):
     whole = {r.uid: r for r in journeys.user_journey(plain).collect()}
+    assert {r.part for r in whole.values()} == {0}
     parts = {}
-    for row in journeys.user_journey(sliced).orderBy("uid", "part").collect():
+    for row in journeys.user_journey(sliced, part_steps=150).orderBy("uid", "part").collect():
+        assert len(row.visiting_order) <= 150
         parts.setdefault(row.uid, []).append(row)
     assert whole.keys() == parts.keys()
     assert max(len(p) for p in parts.values()) > 5
     for uid, found in parts.items():
+        assert [p.part for p in found] == list(range(len(found)))
         assert " > ".join(p.path for p in found) == whole[uid].path
         assert sum((p.visiting_order for p in found), []) == whole[uid].visiting_order
         for name in ("first_interaction", "last_interaction", "conversion"):
