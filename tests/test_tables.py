@@ -122,3 +122,12 @@ def test_clustered_files_hold_ranges(spark, tmp_path):
 
 def test_scratch_folder_is_the_one_the_cluster_names(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_creating_a_table_twice_is_an_error(spark):
+    name = "created_once"
+    assert tables.create_new(spark.range(3), name).count() == 3
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        tables.create_new(spark.range(5), name)
+    assert spark.table(name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
