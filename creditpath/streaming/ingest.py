@@ -37,6 +37,10 @@ def ingest(
 
 
 def backfill(spark: SparkSession, source_dir: str, sink_dir: str) -> DataFrame:
-    """The batch form of :func:`ingest` for a folder that is complete."""
-    typed(read_raw(spark, source_dir)).write.mode("append").parquet(sink_dir)
+    """The batch form of :func:`ingest` for a folder that is complete.
+
+    An existing ``sink_dir`` is an error: a rerun would repeat its rows, and a streamed
+    sink would hide them.
+    """
+    typed(read_raw(spark, source_dir)).write.mode("errorifexists").parquet(sink_dir)
     return spark.read.parquet(sink_dir)

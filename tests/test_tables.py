@@ -11,6 +11,7 @@ from creditpath.sources.schemas import BRONZE
 from creditpath.streaming import ingest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 LINES = [
@@ -38,6 +39,10 @@ def test_stream_equals_batch_and_reads_each_file_once(spark, tmp_path):
     assert found.schema.simpleString() == BRONZE.simpleString()
     assert rows_of(found) == rows_of(ingest.backfill(spark, source, batch))
     assert found.count() == 6
+    for used in (sink, batch):
+        with pytest.raises(AnalysisException):
+            ingest.backfill(spark, source, used)
+    assert spark.read.parquet(batch).count() == 6
 
 
 def test_unreadable_values_are_null_and_counted(spark, tmp_path):
