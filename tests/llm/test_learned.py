@@ -120,3 +120,19 @@ def test_pipeline_stages(spark):
             assert out.columns == corpus_pipeline.COLUMNS
         docs = out
     assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[1] > sizes[2] > sizes[3] and sizes[3] == sizes[5]
+
+
+def texts_of(spark, pages):
+    """The extracted text by page_id of pages (url, html)."""
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extracted(rows).collect()}
+
+
+def test_template_counts_all_pages_of_all_layouts(spark):
+    body = "".join(f"<p>Word {{0}}-{i}</p>" for i in range(450))
+    pages = [(f"http://a.example/{i}", f"<div>Old menu</div><div>{body.format(i)}</div><div>All rights</div>") for i in range(30)]
+    pages += [(f"http://a.example/n{i}", f"<section><div>New menu</div><p>Text {i}</p><p>New end</p></section>") for i in range(10)]
+    pages += [(f"http://b.example/{i}", f"<div>Site</div><p>Text {i}</p>") for i in range(2)]
+    found = texts_of(spark, pages)
+    assert all(found[i] == "\n\n".join(f"Word {i}-{k}" for k in range(450)) for i in range(30))
+    assert all(found[30 + i] == f"Text {i}" for i in range(10)) and found[40] == "Text 0" and found[41] == "Text 1"
