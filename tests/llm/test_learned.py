@@ -128,6 +128,19 @@ def texts_of(spark, pages):
     return {r["page_id"]: r["text"] for r in extracted(rows).collect()}
 
 
+def test_template_reaches_into_articles(spark):
+    pages = [
+        (f"http://a.example/{i}", f"<main><h1>Title {i}</h1><article><p>Text {i}</p><p>Share this with all your friends</p></article></main>")
+        for i in range(8)
+    ]
+    copied = "<article><h1>One title</h1><p>One text</p><p>Another text</p>"
+    pages += [(f"http://b.example/{i}", f"{copied}<p>Seen {i}</p></article><div>Site name</div>") for i in range(4)]
+    found = texts_of(spark, pages)
+    assert all(found[i] == f"Title {i}\n\nText {i}" for i in range(8))
+    assert all(found[8 + i] == f"One title\n\nOne text\n\nAnother text\n\nSeen {i}" for i in range(4))
+    assert main_text("<main><h1>Title</h1><article>Text</article></main><div>Other</div>") == "Title\n\nText"
+
+
 def test_template_counts_all_pages_of_all_layouts(spark):
     body = "".join(f"<p>Word {{0}}-{i}</p>" for i in range(450))
     pages = [(f"http://a.example/{i}", f"<div>Old menu</div><div>{body.format(i)}</div><div>All rights</div>") for i in range(30)]
