@@ -149,3 +149,16 @@ def test_template_counts_all_pages_of_all_layouts(spark):
     found = texts_of(spark, pages)
     assert all(found[i] == "\n\n".join(f"Word {i}-{k}" for k in range(450)) for i in range(30))
     assert all(found[30 + i] == f"Text {i}" for i in range(10)) and found[40] == "Text 0" and found[41] == "Text 1"
+
+
+def test_marked_wrappers_keep_the_page(spark):
+    for page in (
+        "<div class='layout with-sidebar'><p>Whole text</p></div><nav>Menu of links</nav>",
+        "<div id=content class=no-sidebar><article>Whole text</article></div><div class=sidebar>Much longer text at the side</div>",
+        "<article class=has-comments>Whole text<div class=comments>no</div></article>",
+        "<form><nav>Menu of many links</nav><div>Whole text</div><footer>(c)</footer></form>",
+        "<div class='page-header'><main>Whole text</main></div>",
+    ):
+        assert main_text(page) == "Whole text", page
+    wrapped = "<div class='with-sidebar'><div>Site name and a long notice</div><p>Text {0}</p></div><div class=comments>Reply</div>"
+    assert set(texts_of(spark, [("http://a.example", wrapped.format(i)) for i in range(3)]).values()) == {"Text 0", "Text 1", "Text 2"}
