@@ -173,6 +173,32 @@ def test_licenses(spark):
     assert licenses(docs_of(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = (
+        "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated"
+        " documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation"
+        " the rights\n * to use, copy, modify, merge, publish and sell copies.\n */"
+    )
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the"
+        " following conditions\nare met:"
+    )
+    gpl = (
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public"
+        " License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later version."
+    )
+    words = " ".join(f"word{i} of the" for i in range(3000))
+    plain = [(i, f"ordinary words of line {i}\nand the terms of another {i}") for i in range(40)]
+    texts = [mit, bsd, gpl, f"{mit}\n\n{bsd}\n{bsd}", f"{words}\n{gpl}\n{words}", f"{words} {bsd} {words}", bsd.replace("\n", "\n\n"),
+             "Licensed under the MIT License.\nLicensed under CC BY 4.0.\n" + NOTICES["mit"][0]]
+    rows = licenses(docs_of(spark, *plain, *((100 + i, t) for i, t in enumerate(texts)))).where("doc_id >= 100 OR n_notices > 0").collect()
+    got = {r["doc_id"]: [(n["paragraph"], n["family"]) for n in r["notices"]] for r in rows}
+    assert got == {
+        100: [(1, "mit")], 101: [(0, "bsd")], 102: [(0, "gpl")], 103: [(1, "mit"), (7, "bsd"), (10, "bsd")], 104: [(1, "gpl")],
+        105: [(0, "bsd")], 106: [], 107: [(0, "mit"), (1, "cc-by"), (2, "mit")],
+    }
+
+
 def test_mixture_meets_targets(spark):
     rows = [(i, "good fine words " * 20 if i % 2 else "bad sad tokens " * 10) for i in range(60)]
     docs = docs_of(spark, *rows, (60, None), (61, ""), (None, "good"), (1, rows[1][1]))
