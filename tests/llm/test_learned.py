@@ -162,3 +162,24 @@ def test_marked_wrappers_keep_the_page(spark):
         assert main_text(page) == "Whole text", page
     wrapped = "<div class='with-sidebar'><div>Site name and a long notice</div><p>Text {0}</p></div><div class=comments>Reply</div>"
     assert set(texts_of(spark, [("http://a.example", wrapped.format(i)) for i in range(3)]).values()) == {"Text 0", "Text 1", "Text 2"}
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    passage = next(r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
+    rows = [
+        (None, "a clean text without an id"), (None, "another clean text, also without any id"), (None, "One two three four five"),
+        (7, "one two three four five"), (8, "one two three four FIVE"), (8, "words of a second text on one id"),
+        (9, "Words of a second text on one id"), (1, "a first text"), (1, "quite a different other thing"), (1, "a first text"),
+        (None, "no id here nor there"), (None, "no id here nor there"), (None, passage), (20, passage + " z"), (20, "twenty is clean"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    kept = corpus_pipeline.near_dedup(spark, docs.repartition(5), FOLDER)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=order)
+    away = [rows[2], rows[4], rows[6]]
+    expected = sorted({r for r in rows if r not in away}, key=order)
+    assert [g for g in got if g[1] not in (passage, passage + " z")] == [e for e in expected if e[1] not in (passage, passage + " z")]
+    clean = corpus_pipeline.decontaminated(spark, docs, FOLDER)
+    got = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=order)
+    assert got == sorted((r for r in rows if passage not in r[1]), key=order)
