@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from creditpath.llm import sql
 from creditpath.llm.chat import chat_digest, events_of_turns, format_chats
 from creditpath.llm.common import table
+from creditpath.llm.conversation_repair import damaged, repair_digest
 from creditpath.llm.decontamination import contamination_digest
 from creditpath.llm.html_extraction import extracted
 from creditpath.llm.language_id import languages
@@ -70,6 +71,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), labelled, columns=["doc_id"])
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_digest(damaged(conversations), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_secret_scans": op9_secret_scans,
         "op10_mixing": op10_mixing,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
