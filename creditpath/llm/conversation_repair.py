@@ -19,7 +19,8 @@ when they parted: the survivors' ranks hold the outcome of comparing their compl
 edits, and a tie costs one look at them instead of a walk.
 
 Rows of a conversation stream through a task in their order; memory holds the rows that are not
-final (a run of rows that must go, without their texts). A conversation with very many rows is cut into slices that are searched in parallel from
+final: a few, except where two ways of equal cost go on side by side (user rows only, say: which
+one is cheaper depends on whether their number is even). A conversation with very many rows is cut into slices that are searched in parallel from
 each state; a chain over one small matrix per slice then says by which states the best path
 goes, and each slice returns its part.
 """
@@ -118,10 +119,11 @@ class Survivors:
                 if len(inserts) == (2 if source in (NOTHING, SYSTEM) else 1):
                     break
                 state, inserts, cost = NEXT[state], inserts + INSERT, cost + COST[INSERT]
+        order = {state: i for i, state in enumerate(sorted(best, key=lambda s: best[s][1:3]))}
         for state in [*best]:
-            if any(o != state and best[o][0] + FOLLOWING[o, state] < best[state][0] for o in best):
+            own = (best[state][0], order[state])
+            if any(o != state and (best[o][0] + FOLLOWING[o, state], order[o]) < own for o in best):
                 del best[state]
-        order = {state: i for i, state in enumerate(sorted(best, key=lambda s: best[s][1:3]))}
         before = [node for _, _, node in self.paths.values()]
         self.paths = {}
         for state, (cost, _, edits, parent) in best.items():

@@ -103,7 +103,7 @@ def digest_rows(spark, conversations, **options):
 
 def test_every_way_agrees(spark):
     rng = random.Random(1)
-    conversations = {i: some_rows(rng, rng.choice([1, 1, 2, 2, 2, 3])) for i in range(36)}
+    conversations = {i: some_rows(rng, rng.choice([1, 2, 2, 2])) for i in range(60)} | {60: some_rows(rng, 3)}
     got = digest_rows(spark, conversations)
     for i, rows in conversations.items():
         cost, audit, text = every_way(rows)
@@ -135,11 +135,10 @@ def test_paths_coalesce(spark):
     """Only a few nodes stay however long the conversation is."""
     rng = random.Random(3)
     for make in (
-        lambda: some_rows(rng, 3000),
-        lambda: [("user", f"{i}") for i in range(3000)],
+        lambda: [(role, f"{i}{text}") for i, (role, text) in enumerate(some_rows(rng, 3000))],
+        lambda: some_rows(rng, 6) * 10 + [(r, f"{i}.") for i in range(1470) for r in ("user", "assistant")],
+        lambda: [(r, f"{i}") for i in range(1500) for r in ("user", "assistant")],
         lambda: [("user", "")] * 3000,
-        lambda: [("system", f"{i}.") for i in range(3000)],
-        lambda: [("tool", f"{i}.") for i in range(3000)],
     ):
         final, most = [], 0
         search = Survivors(lambda state, edits, to=final: to.append(edits))
