@@ -20,6 +20,7 @@ from creditpath.llm.quality_classifier import quality_scores
 from creditpath.llm.quality_rules import quality_rules
 from creditpath.llm.secrets import secret_digest
 from creditpath.llm.simhash import near_duplicate_classes
+from creditpath.llm.whitening import whitening
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), labelled, columns=["doc_id"])
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_digest(damaged(conversations), conversations)
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_secret_scans": op9_secret_scans,
         "op10_mixing": op10_mixing,
+        "op11_embedding_whitening": op11_embedding_whitening,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
