@@ -20,6 +20,7 @@ from creditpath.llm.quality_classifier import quality_scores
 from creditpath.llm.quality_rules import quality_rules
 from creditpath.llm.secrets import secret_digest
 from creditpath.llm.simhash import near_duplicate_classes
+from creditpath.llm.toxicity import toxicity
 from creditpath.llm.whitening import whitening
 
 
@@ -76,6 +77,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_digest(damaged(conversations), conversations)
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scans": op9_secret_scans,
         "op10_mixing": op10_mixing,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_toxicity": op12_toxicity,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
