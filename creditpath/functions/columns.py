@@ -26,6 +26,16 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+def exact_sum(name: str) -> Column:
+    """The sum of amounts at 12 decimals, whatever the order of the additions."""
+    return F.sum(F.col(name).cast("decimal(28,12)")).cast("double")
+
+
+def exact_mean(name: str) -> Column:
+    """:func:`exact_sum` over the number of amounts: one division; NULL for none."""
+    return ratio(exact_sum(name), F.count(name))
+
+
 def lookup(key: Column, table: Mapping) -> Column:
     """The value of ``key`` in a small literal table, NULL when it is missing."""
     pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditpath import fixed_values as fv
-from creditpath.functions import calendar_features
+from creditpath.functions import calendar_features, exact_mean, exact_sum
 from creditpath.operators.explore import contribution
 from creditpath.plans.ranges import ntile
 from creditpath.plans.skew import is_sliced
@@ -121,27 +121,31 @@ def silver_visits(visits: DataFrame, ranks: DataFrame, key: Sequence[str] = ("ui
 
 
 def user_totals(costed: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
+    """Totals, mean rates and mean order value of each user; exact sums, divided once."""
     return costed.groupBy(*key).agg(
         F.count("interaction").alias("user_impr"),
         F.sum("click").alias("user_clicks"),
         F.sum("conversion").alias("user_txns"),
-        F.avg("cpi").alias("user_cpi"),
+        exact_mean("cpi").alias("user_cpi"),
         F.max("cpc").alias("user_cpc"),
-        F.avg("gpt").alias("user_gpt"),
+        exact_mean("gpt").alias("user_gpt"),
     )
 
 
 def segment_revenue(totals: DataFrame, ranks: DataFrame, key: Sequence[str] = ("uid",)) -> DataFrame:
-    """Revenue by user segment. ``cpm`` is the mean cost per impression, as it is customarily named."""
+    """Revenue by user segment. ``cpm`` is the mean cost per impression, as it is customarily named.
+
+    Users' means are added up as decimals, so the order of additions does not show.
+    """
     users = totals.join(ranks.select(*key, "VISIT_RANK2"), list(key), "left")
     return users.groupBy("VISIT_RANK2").agg(
         F.sum("user_impr").alias("impr"),
         F.sum("user_clicks").alias("clicks"),
         F.sum("user_txns").alias("txns"),
-        F.avg("user_cpi").alias("cpm"),
-        F.avg("user_cpc").alias("cpc"),
-        F.sum("user_gpt").alias("potential_gp"),
-        F.avg("user_gpt").alias("avg_gpt"),
+        exact_mean("user_cpi").alias("cpm"),
+        exact_mean("user_cpc").alias("cpc"),
+        exact_sum("user_gpt").alias("potential_gp"),
+        exact_mean("user_gpt").alias("avg_gpt"),
         F.stddev_samp("user_gpt").alias("std_gpt"),
     )
 

@@ -30,9 +30,22 @@ def oracle_sql() -> dict[str, str]:
     return made
 
 
-def r(*names: str, digits: int = 6) -> str:
+def half_up(value: str, digits: int = 6) -> str:
+    """A double rounded as a decimal, so that a 5 after the last digit goes up and not by its binary form."""
+    return f"cast(round(cast({value} AS decimal(38, 12)), {digits}) AS double)"
+
+
+def r(*names: str) -> str:
     """Select items that round each named column."""
-    return ", ".join(f"round({name}, {digits}) AS {name}" for name in names)
+    return ", ".join(f"{half_up(name)} AS {name}" for name in names)
+
+
+def exact_sum(value: str) -> str:
+    return f"cast(sum(cast({value} AS decimal(28, 12))) AS double)"
+
+
+def exact_mean(value: str) -> str:
+    return f"({exact_sum(value)} / count({value}))"
 
 
 # --- Event log
@@ -239,18 +252,20 @@ SELECT uid, time, channel, product_stars, visit_impr, visit_clicks, visit_txns,
        {r("max_cpm", "avg_cpi", "bid_cpc", "gpt")}, month, dayofweek, weekofyear, timestamp, sum_visit_impr, "VISIT_RANK2"
 FROM t_silver
 """
-PARTS["t_user"] = """
+PARTS["t_user"] = f"""
 SELECT uid, count(interaction) AS user_impr, cast(sum(click) AS bigint) AS user_clicks,
-       cast(sum(conversion) AS bigint) AS user_txns, avg(cpi) AS user_cpi, max(cpc) AS user_cpc, avg(gpt) AS user_gpt
+       cast(sum(conversion) AS bigint) AS user_txns, {exact_mean("cpi")} AS user_cpi, max(cpc) AS user_cpc,
+       {exact_mean("gpt")} AS user_gpt
 FROM t_cost GROUP BY uid
 """
 RESULTS["user_totals"] = f"""
-SELECT uid, user_impr, user_clicks, user_txns, {r("user_cpi", "user_cpc", "user_gpt", digits=10)} FROM t_user
+SELECT uid, user_impr, user_clicks, user_txns, {r("user_cpi", "user_cpc", "user_gpt")} FROM t_user
 """
-RESULTS["segment_revenue"] = """
+RESULTS["segment_revenue"] = f"""
 SELECT "VISIT_RANK2", cast(sum(user_impr) AS bigint) AS impr, cast(sum(user_clicks) AS bigint) AS clicks,
-       cast(sum(user_txns) AS bigint) AS txns, round(avg(user_cpi), 7) AS cpm, round(avg(user_cpc), 7) AS cpc,
-       round(sum(user_gpt), 7) AS potential_gp, round(avg(user_gpt), 7) AS avg_gpt, round(stddev_samp(user_gpt), 7) AS std_gpt
+       cast(sum(user_txns) AS bigint) AS txns, {half_up(exact_mean("user_cpi"))} AS cpm,
+       {half_up(exact_mean("user_cpc"))} AS cpc, {half_up(exact_sum("user_gpt"))} AS potential_gp,
+       {half_up(exact_mean("user_gpt"))} AS avg_gpt, {half_up("stddev_samp(user_gpt)")} AS std_gpt
 FROM t_user LEFT JOIN t_rank USING (uid) GROUP BY "VISIT_RANK2"
 """
 RESULTS["impression_percentiles"] = """
@@ -629,3 +644,92 @@ RESULTS["bronze_scan"] = """
 SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM events
 WHERE event_type = 'purchase' GROUP BY event_type
 """
+
+
+# --- Multi-touch and Shapley attribution
+
+PARTS["t_touch"] = """
+SELECT uid, channel, 1.0::double / count(*) OVER w AS linear,
+       power(2.0::double, (epoch_us(time) - max(epoch_us(time)) OVER w) / 7200000000.0::double) AS weight,
+       last_value(conversion) OVER (PARTITION BY uid ORDER BY time, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS won
+FROM t_ev WINDOW w AS (PARTITION BY uid)
+"""
+PARTS["t_credit"] = """
+SELECT uid, channel, won, linear, weight / sum(weight) OVER (PARTITION BY uid) AS time_decay FROM t_touch
+"""
+RESULTS["multi_touch"] = f"""
+SELECT attribution_model, channel, {r("conversions")},
+       {half_up("conversions / sum(conversions) OVER (PARTITION BY attribution_model)")} AS share
+FROM (SELECT 'linear' AS attribution_model, channel, sum(linear) AS conversions FROM t_credit WHERE won = 1 GROUP BY channel
+      UNION ALL
+      SELECT 'time_decay', channel, sum(time_decay) FROM t_credit WHERE won = 1 GROUP BY channel) q
+"""
+# Every subset of the channels, and every channel outside it.
+PARTS["t_sets"] = """
+SELECT mask, count(*) AS journeys, sum(won) AS conversions
+FROM (SELECT uid, bit_or(CASE channel WHEN 'Affiliates' THEN 1 WHEN 'Email' THEN 2 WHEN 'Google Display Network' THEN 4
+                         WHEN 'Search Engine Marketing' THEN 8 ELSE 16 END) AS mask,
+             arg_max(conversion, (time, event_id)) AS won FROM t_ev GROUP BY uid) q GROUP BY mask
+"""
+PARTS["t_worth"] = """
+SELECT s AS part, bit_count(s) AS size, coalesce(sum(conversions), 0)::double AS conversions,
+       coalesce(sum(conversions) / nullif(sum(journeys), 0)::double, 0) AS rate
+FROM (SELECT unnest(range(32))::int AS s) p LEFT JOIN t_sets ON mask & s = mask GROUP BY s
+"""
+PARTS["t_shapley"] = """
+SELECT channel, sum((b.conversions - a.conversions) * factorial(a.size) * factorial(4 - a.size) / 120.0::double) AS conversions,
+       sum((b.rate - a.rate) * factorial(a.size) * factorial(4 - a.size) / 120.0::double) AS rate
+FROM t_worth a JOIN (VALUES ('Affiliates', 1), ('Email', 2), ('Google Display Network', 4),
+                            ('Search Engine Marketing', 8), ('Social Network', 16)) AS c(channel, own) ON a.part & own = 0
+JOIN t_worth b ON b.part = a.part | own GROUP BY channel
+"""
+RESULTS["shapley_attribution"] = f"""
+SELECT attribution_model, channel, {r("credit")},
+       {half_up("credit / sum(credit) OVER (PARTITION BY attribution_model)")} AS share
+FROM (SELECT 'shapley_conversions' AS attribution_model, channel, conversions AS credit FROM t_shapley
+      UNION ALL SELECT 'shapley_rate', channel, rate FROM t_shapley) q
+"""
+
+# --- Journeys by pauses
+
+PARTS["t_session"] = """
+SELECT *, sum(pause) OVER (PARTITION BY user_id ORDER BY time, event_id ROWS UNBOUNDED PRECEDING) AS session
+FROM (SELECT user_id, ts AS time, event_id, channel, t_ev.conversion,
+             CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000000
+                  THEN 1 ELSE 0 END AS pause
+      FROM t_ev JOIN events USING (event_id)) q
+"""
+RESULTS["session_journeys"] = """
+SELECT user_id, cast(session AS bigint) AS session, cast(0 AS int) AS part,
+       concat('Start > ', string_agg(channel, ' > ' ORDER BY time, event_id),
+              CASE WHEN arg_max(conversion, (time, event_id)) = 1 THEN ' > Conversion' ELSE ' > Null' END) AS path,
+       arg_min(channel, (time, event_id)) AS first_interaction, arg_max(channel, (time, event_id)) AS last_interaction,
+       arg_max(conversion, (time, event_id)) AS conversion,
+       string_agg(cast(visit AS varchar), ',' ORDER BY time, event_id) AS visiting_order
+FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id, session ORDER BY time) AS visit FROM t_session) q
+GROUP BY user_id, session
+"""
+
+# --- Streams with late events, and merges
+
+PARTS["t_arrival"] = """
+SELECT t_ev.*, sec, CASE WHEN sec <= cut AND event_id % 10 <> 0 THEN 1 ELSE 2 END AS arrival
+FROM (SELECT *, epoch(date_trunc('second', time))::bigint AS sec FROM t_ev) t_ev,
+     (SELECT (min(epoch(date_trunc('second', ts))::bigint) + max(epoch(date_trunc('second', ts))::bigint)) // 2 AS cut FROM events) c
+"""
+RESULTS["hourly_conversions"] = """
+SELECT make_timestamp(sec // 3600 * 3600000000) AS window_start, make_timestamp((sec // 3600 + 1) * 3600000000) AS window_end,
+       channel, count(*) AS n_events, cast(sum(conversion) AS bigint) AS n_conversions
+FROM t_arrival, (SELECT max(sec) FILTER (arrival = 1) - 21600 AS first_mark, max(sec) - 21600 AS last_mark FROM t_arrival) m
+WHERE (arrival = 1 OR (sec // 3600 + 1) * 3600 > first_mark) AND (sec // 3600 + 1) * 3600 <= last_mark
+GROUP BY sec // 3600, channel
+"""
+_LATEST = """
+SELECT cast(user_id AS varchar) AS uid, arg_max(channel, (date_trunc('second', time), conversion, interaction, channel)) AS channel,
+       arg_max(interaction, (date_trunc('second', time), conversion, interaction, channel)) AS interaction,
+       arg_max(conversion, (date_trunc('second', time), conversion, interaction, channel)) AS conversion,
+       max(date_trunc('second', time)) AS time
+FROM (SELECT t_ev.*, events.user_id FROM t_ev JOIN events USING (event_id)) e GROUP BY user_id
+"""
+RESULTS["stream_upsert"] = RESULTS["bucketed_merge"] = _LATEST

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from creditpath import fixed_values as fv
 from creditpath.functions import calendar_features, ctr_of_rank, like_of_stars
-from creditpath.operators import allocation, enrich, explore, journeys, markov, model, risk, scoring, spend, visits
+from creditpath.operators import allocation, enrich, explore, journeys, markov, model, risk, scoring, sessions, shapley
+from creditpath.operators import spend, touches, visits
 from creditpath.plans.stages import KEYED, Stages, named
 from creditpath.session import scratch_path
 from creditpath.sources import tables
+from creditpath.sources.bucketed import BucketedTable, newest_rows
 from creditpath.sources.event_log import JOURNEY, read_events, with_channel
-from creditpath.sources.raw_log import write_raw
-from creditpath.streaming.ingest import ingest
+from creditpath.sources.raw_log import typed, write_raw
+from creditpath.streaming.ingest import ingest, stream_raw
+from creditpath.streaming.upsert import stream_upsert as merge_stream
+from creditpath.streaming.windows import stream_conversions
 
 Query = Callable[[SparkSession, str], DataFrame]
 _STEPS: dict[str, Callable[[Stages], DataFrame]] = {}
 
 
-# Means of few rates end in a 5 at the seventh place; more places keep rounding clear of it.
-_DIGITS = {"user_totals": 10, "segment_revenue": 7}
-
-
 def query(step: Callable[[Stages], DataFrame]) -> Callable[[Stages], DataFrame]:
     _STEPS[step.__name__] = step
     return step
@@ -38,11 +38,11 @@ def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _runner(step, _DIGITS.get(name, 6)) for name, step in _STEPS.items()}
+    return {name: _runner(step) for name, step in _STEPS.items()}
 
 
-def _runner(step: Callable[[Stages], DataFrame], digits: int) -> Query:
-    return lambda spark, data_dir: rounded(step(Stages(spark, data_dir)), digits)
+def _runner(step: Callable[[Stages], DataFrame]) -> Query:
+    return lambda spark, data_dir: rounded(step(Stages(spark, data_dir)))
 
 
 # --- Ingest and enrichment
@@ -88,6 +88,58 @@ def cost_enrich(s: Stages) -> DataFrame:
     return s.costed.select("event_id", "uid", "channel", "click", "impression", "cpm", "cpi", "cpc", "gpt")
 
 
+def _arrivals(s: Stages) -> list[DataFrame]:
+    """The events in two deliveries: the earlier half of the time, and the later one with a tenth of the earlier."""
+    second = F.unix_micros(F.date_trunc("second", F.col("time").cast("timestamp"))) / F.lit(1_000_000)
+    events = s.events.withColumn("_second", second.cast("long"))
+    cut = events.agg(F.floor((F.min("_second") + F.max("_second")) / 2)).scalar()
+    first = (F.col("_second") <= cut) & (F.col("event_id") % 10 != 0)
+    return [events.where(first).drop("_second"), events.where(~first).drop("_second")]
+
+
+@query
+def hourly_conversions(s: Stages) -> DataFrame:
+    """Conversions by hour and channel from two deliveries, events six hours behind the last one left out."""
+    source, sink, state = (scratch_path(s.spark, part) for part in ("late", "hours", "state"))
+    for number, rows in enumerate(_arrivals(s)):
+        write_raw(rows, f"{source}/delivery={number}")
+        hours = stream_conversions(s.spark, f"{source}/delivery=*", sink, state)
+    return hours
+
+
+def _last_seen(rows: DataFrame) -> DataFrame:
+    """Events as last-seen rows of their users."""
+    seconds = F.date_trunc("second", F.col("time").cast("timestamp")).cast("timestamp_ntz").alias("time")
+    return rows.select(F.col("user_id").cast("string").alias("uid"), seconds, "conversion", "interaction", "channel")
+
+
+_NEWEST = ["time", "conversion", "interaction", "channel"]
+
+
+@query
+def bucketed_merge(s: Stages) -> DataFrame:
+    """What each user did last: known for one delivery, then merged with the next, which has older events too."""
+    known, late = (newest_rows(_last_seen(rows), ["uid"], _NEWEST) for rows in _arrivals(s))
+    table = BucketedTable(s.spark, scratch_path(s.spark, "last-seen"), ["uid"], buckets=16)
+    table.create(known)
+    table.merge(late, _NEWEST)
+    return table.read()
+
+
+@query
+def stream_upsert(s: Stages) -> DataFrame:
+    """The same from a stream of raw files, a few per micro-batch."""
+    source, state, path = (scratch_path(s.spark, part) for part in ("raw", "state", "last-seen"))
+    table = BucketedTable(s.spark, path, ["uid"], buckets=16)
+    for number, rows in enumerate(_arrivals(s)):
+        write_raw(rows.withColumn("uid", F.col("user_id").cast("string")).repartition(4), f"{source}/delivery={number}")
+        stream = typed(stream_raw(s.spark, f"{source}/delivery=*", 3)).select("uid", *_NEWEST)
+        if number == 0:
+            table.create(s.spark.createDataFrame([], stream.schema))
+        merge_stream(stream, table, state, _NEWEST)
+    return table.read()
+
+
 # --- Exploration metrics
 
 
@@ -344,6 +396,33 @@ def attribution_upsert(s: Stages) -> DataFrame:
     return tables.upsert(s.touch.select(*columns), chain, columns[:2])
 
 
+# --- Multi-touch and Shapley attribution, journeys by pauses
+
+
+@query
+def multi_touch(s: Stages) -> DataFrame:
+    """Linear and time-decay credit; a touch loses half of its weight in two hours."""
+    return touches.multi_touch(s.events, JOURNEY, half_life=2 * 3600)
+
+
+@query
+def shapley_attribution(s: Stages) -> DataFrame:
+    """Shapley credit of the channels for conversions and for the rate of conversion."""
+    models = []
+    for value in (shapley.CONVERSIONS, shapley.RATE):
+        credit = shapley.shapley(s.events, JOURNEY, value)
+        models.append(credit.select(F.lit(f"shapley_{value}").alias("attribution_model"), "channel", "credit", "share"))
+    return models[0].unionByName(models[1])
+
+
+@query
+def session_journeys(s: Stages) -> DataFrame:
+    """Journeys that end with a pause of more than twelve hours."""
+    rows = sessions.session_journeys(s.events, gap=12 * 3600, hot_rows=s.hot_rows)
+    order = F.array_join(F.transform("visiting_order", lambda v: v.cast("string")), ",")
+    return rows.withColumn("visiting_order", order)
+
+
 # --- Per-user transitions and risk
 
 
