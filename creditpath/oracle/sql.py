@@ -113,7 +113,7 @@ SELECT ctr_rank, product_stars, count(*) AS n_events, {r("ctr_perc", "like_perc"
 FROM t_click GROUP BY ctr_rank, product_stars, ctr_perc, like_perc
 """
 RESULTS["user_preferences"] = f"""
-SELECT uid, product_stars, ctr_rank, {r("ctr_perc", "like_perc")}, round(ctr_perc * 1.3::double * like_perc, 6) AS ctr
+SELECT uid, product_stars, ctr_rank, {r("ctr_perc", "like_perc")}, cast(round(cast(ctr_perc * 1.3::double * like_perc AS decimal(38, 12)), 6) AS double) AS ctr
 FROM t_pref
 """
 RESULTS["bernoulli_click"] = f"""
@@ -126,11 +126,11 @@ RESULTS["cost_enrich"] = f"SELECT event_id, uid, channel, click, impression, {r(
 RESULTS["interaction_counts"] = "SELECT interaction, count(*) AS count FROM t_ev GROUP BY interaction"
 RESULTS["channel_share"] = """
 SELECT channel, count(*) AS count, (SELECT count(*) FROM t_ev) AS total_cnt,
-       round(count(*) / (SELECT count(*) FROM t_ev)::double, 6) AS p_channel FROM t_ev GROUP BY channel
+       cast(round(cast(count(*) / (SELECT count(*) FROM t_ev)::double AS decimal(38, 12)), 6) AS double) AS p_channel FROM t_ev GROUP BY channel
 """
 RESULTS["user_activity"] = """
 SELECT uid, count(*) AS count, (SELECT count(*) FROM t_ev) AS total_cnt,
-       round(count(*) / (SELECT count(*) FROM t_ev)::double, 6) AS p_user FROM t_ev GROUP BY uid
+       cast(round(cast(count(*) / (SELECT count(*) FROM t_ev)::double AS decimal(38, 12)), 6) AS double) AS p_user FROM t_ev GROUP BY uid
 """
 RESULTS["distinct_users"] = "SELECT count(DISTINCT uid) AS n_users FROM t_ev"
 RESULTS["journey_lengths"] = """
@@ -287,10 +287,10 @@ SELECT month, weekofyear, dayofweek, uid, channel, product_stars, impr, total_im
 RESULTS["silver_summary"] = _summary
 RESULTS["daily_user_rollup"] = """
 SELECT month, weekofyear, dayofweek, uid, first(channel ORDER BY channel, product_stars) AS channel,
-       round(avg(product_stars), 6) AS avg_product_stars, cast(sum(impr) AS bigint) AS sum_impr,
+       cast(round(cast(avg(product_stars) AS decimal(38, 12)), 6) AS double) AS avg_product_stars, cast(sum(impr) AS bigint) AS sum_impr,
        first(total_impr ORDER BY channel, product_stars) AS first_total_impr,
        cast(sum(clicks) AS bigint) AS sum_clicks, cast(sum(txns) AS bigint) AS sum_txns,
-       round(avg(cpm), 6) AS avg_cpm, round(avg(cpc), 6) AS avg_cpc, round(avg(gpt), 6) AS avg_gpt
+       cast(round(cast(avg(cpm) AS decimal(38, 12)), 6) AS double) AS avg_cpm, cast(round(cast(avg(cpc) AS decimal(38, 12)), 6) AS double) AS avg_cpc, cast(round(cast(avg(gpt) AS decimal(38, 12)), 6) AS double) AS avg_gpt
 FROM t_summary GROUP BY month, weekofyear, dayofweek, uid
 """
 RESULTS["quality_checks"] = """
@@ -325,7 +325,7 @@ RESULTS["matrix_row_sums"] = """
 SELECT start_state, round(sum(transition_probability), 2) AS transition_probability_sum FROM t_matrix GROUP BY start_state
 """
 RESULTS["matrix_pivot"] = "SELECT start_state, " + ", ".join(
-    f"""round(max(CASE WHEN end_state = '{s}' THEN transition_probability END), 6) AS "{s}" """
+    f"""cast(round(cast(max(CASE WHEN end_state = '{s}' THEN transition_probability END) AS decimal(38, 12)), 6) AS double) AS "{s}" """
     for s in ("Social Network", "Search Engine Marketing", "Google Display Network", "Affiliates", "Email", "Conversion", "Null")
 ) + " FROM t_matrix GROUP BY start_state"
 RESULTS["matrix_stats"] = f"""
@@ -335,8 +335,8 @@ FROM t_matrix m JOIN (SELECT start_state, count(*) AS n_edges, avg(transition_pr
 """
 RESULTS["end_states"] = "SELECT DISTINCT end_state FROM t_matrix"
 RESULTS["staying_stats"] = """
-SELECT start_state, round(sum(transition_probability), 6) AS sum_p, round(avg(transition_probability), 6) AS avg_p,
-       round(stddev_samp(transition_probability), 6) AS std_p
+SELECT start_state, cast(round(cast(sum(transition_probability) AS decimal(38, 12)), 6) AS double) AS sum_p, cast(round(cast(avg(transition_probability) AS decimal(38, 12)), 6) AS double) AS avg_p,
+       cast(round(cast(stddev_samp(transition_probability) AS decimal(38, 12)), 6) AS double) AS std_p
 FROM t_matrix WHERE end_state <> 'Null' AND start_state <> 'Start' GROUP BY start_state
 """
 PARTS["t_graph"] = """
@@ -348,7 +348,7 @@ WHERE start_state <> removed
 RESULTS["removal_graph"] = f"SELECT removed, start_state, end_state, {r('transition_probability')} FROM t_graph"
 RESULTS["removal_adjacency"] = """
 SELECT removed, start_state, string_agg(end_state, ',' ORDER BY end_state) AS next_stages,
-       round(sum(transition_probability), 6) AS total_probability FROM t_graph GROUP BY removed, start_state
+       cast(round(cast(sum(transition_probability) AS decimal(38, 12)), 6) AS double) AS total_probability FROM t_graph GROUP BY removed, start_state
 """
 PARTS["t_walk"] = """
 SELECT DISTINCT removed, 'Start' AS state, ['Start'] AS visited, 1.0::double AS p FROM t_graph
@@ -445,7 +445,7 @@ PARTS["t_browse"] = "SELECT uid, sum(to_browse) AS prob_to_browse FROM t_bbs GRO
 RESULTS["browse_by_state"] = f"SELECT uid, start_state, transitions, {r('to_browse')} FROM t_bbs"
 RESULTS["browse_probability"] = f"SELECT uid, {r('prob_to_browse')} FROM t_browse"
 RESULTS["user_row_sums"] = """
-SELECT uid, start_state, round(sum(transition_probability), 6) AS sum_p FROM t_up GROUP BY uid, start_state
+SELECT uid, start_state, cast(round(cast(sum(transition_probability) AS decimal(38, 12)), 6) AS double) AS sum_p FROM t_up GROUP BY uid, start_state
 """
 PARTS["t_thresh"] = """
 SELECT *, CASE WHEN avg_transitions_per_chanel - std_transitions_per_channel > 0
@@ -481,10 +481,10 @@ SELECT "VISIT_RANK2", transitions, {r("risk_score", "max_risk_score", "std_prob"
 """
 RESULTS["user_product_funnel"] = """
 SELECT uid, product_stars, cast(sum(impr) AS bigint) AS total_impr, cast(sum(clicks) AS bigint) AS clicks,
-       cast(sum(txns) AS bigint) AS txns, round(avg(impr), 6) AS avg_impr_per_product, round(stddev_pop(impr), 6) AS std_impr,
-       round(sum(clicks) / sum(impr)::double, 6) AS "CTR",
-       round(CASE WHEN sum(clicks) > 0 THEN sum(txns) / sum(clicks)::double ELSE sum(txns) / sum(impr)::double END, 6) AS "CVR",
-       round(CASE WHEN sum(impr) > 0 THEN sum(txns) / sum(impr)::double ELSE 0 END, 6) AS "CVR2"
+       cast(sum(txns) AS bigint) AS txns, cast(round(cast(avg(impr) AS decimal(38, 12)), 6) AS double) AS avg_impr_per_product, cast(round(cast(stddev_pop(impr) AS decimal(38, 12)), 6) AS double) AS std_impr,
+       cast(round(cast(sum(clicks) / sum(impr)::double AS decimal(38, 12)), 6) AS double) AS "CTR",
+       cast(round(cast(CASE WHEN sum(clicks) > 0 THEN sum(txns) / sum(clicks)::double ELSE sum(txns) / sum(impr)::double END AS decimal(38, 12)), 6) AS double) AS "CVR",
+       cast(round(cast(CASE WHEN sum(impr) > 0 THEN sum(txns) / sum(impr)::double ELSE 0 END AS decimal(38, 12)), 6) AS double) AS "CVR2"
 FROM (SELECT uid, product_stars, sum(visit_impr) AS impr, sum(visit_clicks) AS clicks, sum(visit_txns) AS txns
       FROM t_silver GROUP BY uid, product_stars) q
 GROUP BY uid, product_stars
@@ -496,14 +496,14 @@ FROM (SELECT uid, end_state, sum(end_state_probability) AS p_end_state, cast(sum
 """
 RESULTS["user_end_states"] = f"SELECT uid, end_state, {r('p_end_state')}, conversions, {r('p_conversion')} FROM t_ues"
 RESULTS["end_state_conversion"] = "SELECT end_state, " + ", ".join(
-    f"round({f}({c}), 6) AS {n}_{s}"
+    f"cast(round(cast({f}({c}) AS decimal(38, 12)), 6) AS double) AS {n}_{s}"
     for c, s in (("p_end_state", "p_end"), ("p_conversion", "p_conv"))
     for f, n in (("sum", "sum"), ("avg", "avg"), ("stddev_samp", "std"))
 ) + " FROM t_ues GROUP BY end_state"
 RESULTS["transition_summary"] = """
 SELECT start_state, end_state, cast(sum(nstate_trainsitions) AS bigint) AS ntransitions,
-       cast(sum(conversion) AS bigint) AS nconversions, round(-avg(transition_probability), 6) AS avg_transition_prob,
-       round(-avg(start_state_probability), 6) AS avg_start_prob
+       cast(sum(conversion) AS bigint) AS nconversions, cast(round(cast(-avg(transition_probability) AS decimal(38, 12)), 6) AS double) AS avg_transition_prob,
+       cast(round(cast(-avg(start_state_probability) AS decimal(38, 12)), 6) AS double) AS avg_start_prob
 FROM t_up GROUP BY start_state, end_state
 """
 RESULTS["edges_per_user"] = "SELECT uid, count(*) AS cnt FROM t_um GROUP BY uid"
@@ -516,7 +516,7 @@ RESULTS["converting_edges"] = RESULTS["user_transition_matrix"] + " WHERE end_st
 
 PARTS["t_daily"] = "SELECT ud AS campaign_id, channel, sum(value) AS spend FROM t_ev GROUP BY ud, channel"
 RESULTS["ad_spend_exploded"] = """
-SELECT campaign_id, channel, round(spend / total, 6) AS pct_spend, round(total * (spend / total), 2) AS dollar_spend
+SELECT campaign_id, channel, cast(round(cast(spend / total AS decimal(38, 12)), 6) AS double) AS pct_spend, round(total * (spend / total), 2) AS dollar_spend
 FROM t_daily JOIN (SELECT campaign_id, sum(spend) AS total FROM t_daily GROUP BY campaign_id) q USING (campaign_id)
 """
 RESULTS["base_conversion_rate"] = """
@@ -546,7 +546,7 @@ SELECT channel, pct_spend, dollar_spend, attribution_percent, attribution_percen
 FROM t_spend JOIN t_attr USING (channel) WHERE attribution_model = 'markov_chain'
 """
 RESULTS["budget_reallocation"] = """
-SELECT channel, pct_spend, dollar_spend, attribution_percent, round("ROAS", 6) AS "ROAS", proposed_dollar_spend FROM t_realloc
+SELECT channel, pct_spend, dollar_spend, attribution_percent, cast(round(cast("ROAS" AS decimal(38, 12)), 6) AS double) AS "ROAS", proposed_dollar_spend FROM t_realloc
 """
 RESULTS["current_and_proposed"] = """
 SELECT channel, 'current_spending' AS spending, dollar_spend AS budget FROM t_spend
@@ -636,8 +636,8 @@ PARTS["t_chosen_known"] = allocation("revenue", "CASE WHEN channel <> 'Affiliate
 RESULTS["allocate_with_missing_rates"] = RESULTS["allocate_budget"].replace("t_chosen", "t_chosen_known")
 RESULTS["allocation_summary"] = """
 SELECT channel, opt_result, cast(sum(impr_pred) AS bigint) AS impr, cast(sum(clicks_pred) AS bigint) AS clicks,
-       cast(sum(txns_pred) AS bigint) AS txns, round(avg(cpi_pred), 6) AS cpm, round(avg(cpc_pred), 6) AS cpc,
-       round(avg(gpt_pred), 6) AS gpt, round(avg(ctr_pred), 6) AS ctr, round(avg(cvr_pred), 6) AS cvr
+       cast(sum(txns_pred) AS bigint) AS txns, cast(round(cast(avg(cpi_pred) AS decimal(38, 12)), 6) AS double) AS cpm, cast(round(cast(avg(cpc_pred) AS decimal(38, 12)), 6) AS double) AS cpc,
+       cast(round(cast(avg(gpt_pred) AS decimal(38, 12)), 6) AS double) AS gpt, cast(round(cast(avg(ctr_pred) AS decimal(38, 12)), 6) AS double) AS ctr, cast(round(cast(avg(cvr_pred) AS decimal(38, 12)), 6) AS double) AS cvr
 FROM t_chosen GROUP BY channel, opt_result
 """
 RESULTS["bronze_scan"] = """
@@ -648,22 +648,22 @@ WHERE event_type = 'purchase' GROUP BY event_type
 
 # --- Multi-touch and Shapley attribution
 
-PARTS["t_touch"] = """
+PARTS["t_weights"] = """
 SELECT uid, channel, 1.0::double / count(*) OVER w AS linear,
        power(2.0::double, (epoch_us(time) - max(epoch_us(time)) OVER w) / 7200000000.0::double) AS weight,
        last_value(conversion) OVER (PARTITION BY uid ORDER BY time, event_id
            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS won
 FROM t_ev WINDOW w AS (PARTITION BY uid)
 """
-PARTS["t_credit"] = """
-SELECT uid, channel, won, linear, weight / sum(weight) OVER (PARTITION BY uid) AS time_decay FROM t_touch
+PARTS["t_credits"] = """
+SELECT uid, channel, won, linear, weight / sum(weight) OVER (PARTITION BY uid) AS time_decay FROM t_weights
 """
 RESULTS["multi_touch"] = f"""
 SELECT attribution_model, channel, {r("conversions")},
        {half_up("conversions / sum(conversions) OVER (PARTITION BY attribution_model)")} AS share
-FROM (SELECT 'linear' AS attribution_model, channel, sum(linear) AS conversions FROM t_credit WHERE won = 1 GROUP BY channel
+FROM (SELECT 'linear' AS attribution_model, channel, sum(linear) AS conversions FROM t_credits WHERE won = 1 GROUP BY channel
       UNION ALL
-      SELECT 'time_decay', channel, sum(time_decay) FROM t_credit WHERE won = 1 GROUP BY channel) q
+      SELECT 'time_decay', channel, sum(time_decay) FROM t_credits WHERE won = 1 GROUP BY channel) q
 """
 # Every subset of the channels, and every channel outside it.
 PARTS["t_sets"] = """

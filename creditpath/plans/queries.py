@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditpath import fixed_values as fv
@@ -31,10 +31,13 @@ def query(step: Callable[[Stages], DataFrame]) -> Callable[[Stages], DataFrame]:
 
 
 def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of additions does not show."""
-    return rows.select(
-        *[F.round(f"`{name}`", digits).alias(name) if kind == "double" else F.col(f"`{name}`") for name, kind in rows.dtypes]
-    )
+    """Doubles rounded as decimals, so that neither the order of additions nor a last binary digit shows."""
+
+    def short(name: str) -> Column:
+        as_decimal = F.col(f"`{name}`").try_cast("decimal(38,12)")
+        return F.coalesce(F.round(as_decimal, digits).cast("double"), F.col(f"`{name}`")).alias(name)
+
+    return rows.select(*[short(name) if kind == "double" else F.col(f"`{name}`") for name, kind in rows.dtypes])
 
 
 def queries() -> dict[str, Query]:
