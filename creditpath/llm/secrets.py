@@ -43,38 +43,112 @@ ENCODINGS = (
 CELLS = 5
 # Steps of the p-value's negative decimal logarithm in which tokens are counted, and the largest step.
 STEPS, MAX_STEP = 20, 400
+# Entries of an array that grow by copying, and code points of the chunks a text is cut into for masking.
+BLOCK, CHUNK = 64, 4096
 
 
-def _offsets(pieces: Column, hits: Column) -> Column:
-    """(start, end, text) of each hit between the ``pieces`` of a split, in code points."""
-    first = lambda i: F.length(F.get(pieces, i))
-    return F.aggregate(
-        F.transform(hits, lambda h, i: F.struct(h.alias("text"), first(i).alias("gap"))),
-        F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,end:int,text:string>>").alias("found")),
-        lambda seen, h: F.struct(
-            (seen["at"] + h["gap"] + F.length(h["text"])).alias("at"),
-            F.concat(
-                seen["found"],
-                F.array(
-                    F.struct(
-                        (seen["at"] + h["gap"]).alias("start"),
-                        (seen["at"] + h["gap"] + F.length(h["text"])).alias("end"),
-                        h["text"].alias("text"),
-                    )
-                ),
-            ).alias("found"),
-        ),
-        lambda seen: seen["found"],
-    )
+def _named(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside of a lambda, a variable stands for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, start: Column, step, levels: int = 3) -> Column:
+    """For each of ``values`` what ``step`` has made of ``start`` and the values before it; integers.
+
+    Arrays are copied as they grow, so they grow within blocks of ``BLOCK`` values, and what a block
+    begins with comes from the same sums over whole blocks: the work is linear up to ``BLOCK ** levels`` values.
+    """
+    none = F.expr("array()").cast("array<int>")
+
+    def within(part: Column, first: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(first.alias("now"), none.alias("seen")),
+            lambda s, v: F.struct(step(s["now"], v).alias("now"), F.concat(s["seen"], F.array(s["now"])).alias("seen")),
+            lambda s: s["seen"],
+        )
+
+    if levels == 1:
+        return within(values, start)
+
+    def in_blocks(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / F.lit(BLOCK)).cast("int"))
+        return _named(F.transform(numbers, lambda b: F.slice(v, b * BLOCK + 1, BLOCK)), from_blocks)
+
+    def from_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda part: F.aggregate(part, start, step))
+        return F.flatten(F.zip_with(blocks, _running(totals, start, step, levels - 1), within))
+
+    return _named(values, in_blocks)
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches of ``pattern``."""
+    """(start, end, text) of the leftmost non-overlapping matches of ``pattern``, in code points."""
     none = F.expr("array()").cast("array<struct<start:int,end:int,text:string>>")
-    found = _offsets(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern), lambda g: F.length(g))
+
+    def placed(t: Column) -> Column:
+        # Before a match: the gaps up to it and the matches before it.
+        steps = F.zip_with(F.slice(t["gaps"], 1, F.size(t["hits"])), t["hits"], lambda g, h: g + F.length(h))
+        ends = F.zip_with(_running(steps, F.lit(0), lambda a, b: a + b), steps, lambda a, b: a + b)
+        return F.zip_with(
+            ends, t["hits"], lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("text"))
+        )
+
+    found = _named(F.struct(gaps.alias("gaps"), hits.alias("hits")), placed)
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
 
 
+def _union(spans: Column) -> Column:
+    """(start, end) of the stretches that the (start, end) of ``spans`` cover, in order; spans that meet are one."""
+
+    def merged(t: Column) -> Column:
+        before = _running(F.transform(t, lambda s: s["end"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        return _named(F.zip_with(t, before, lambda s, b: F.struct(s["start"].alias("start"), b.alias("before"))), closed(t))
+
+    def closed(t: Column):
+        last = F.array(F.array_max(F.transform(t, lambda s: s["end"])))
+
+        def ends(marked: Column) -> Column:
+            firsts = F.filter(marked, lambda m: m["start"] > m["before"])
+            # A stretch ends with the furthest end before the next one's start.
+            stops = F.concat(F.transform(F.slice(firsts, 2, F.greatest(F.size(firsts) - 1, F.lit(0))), lambda m: m["before"]), last)
+            return F.zip_with(firsts, stops, lambda m, e: F.struct(m["start"].alias("start"), e.alias("end")))
+
+        return ends
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    none = F.expr("array()").cast("array<struct<start:int,end:int>>")
+    return F.when(F.size(spans) > 0, _named(ordered, merged)).otherwise(none)
+
+
+def _how_many(sorted_values: Column, holds) -> Column:
+    """How many entries at the front of a sorted array ``holds`` is true for, by bisection."""
+    return F.aggregate(
+        F.array(*[F.lit(1 << b) for b in range(29, -1, -1)]),
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= F.size(sorted_values)) & holds(F.get(sorted_values, at + step - 1)), at + step
+        ).otherwise(at),
+    )
+
+
+def _uncovered(token: Column, covered: Column) -> Column:
+    """The parts of a token (start, end) outside of the ``covered`` stretches."""
+
+    def parts(met: Column) -> Column:
+        starts = F.concat(F.array(token["start"]), F.transform(met, lambda s: s["end"]))
+        ends = F.concat(F.transform(met, lambda s: s["start"]), F.array(token["end"]))
+        rest = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end")))
+        return F.filter(rest, lambda r: r["start"] < r["end"])
+
+    first = _how_many(covered, lambda s: s["end"] <= token["start"])
+    return _named(first, lambda lo: _named(
+        F.slice(covered, lo + 1, F.greatest(_how_many(covered, lambda s: s["start"] < token["end"]) - lo, F.lit(0))), parts
+    ))
+
+
 def _normal_tails(z: Column) -> Column:
     """Both tails of the normal distribution, by a logistic curve (off by less than 0.0003)."""
     z = F.abs(z)
@@ -179,9 +253,10 @@ def secrets(documents: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> D
     """``documents`` (text and any further columns) with ``secrets``: (start, kind, end) in order.
 
     kind is the place in ``KINDS``; start and end count code points, end exclusive.
-    Matches of the fixed patterns all stay; a random token is added where it meets
-    none of them. A NULL text is empty; repeated rows are returned as often; a corpus
-    without tokens rejects none. A column named ``secrets`` is replaced.
+    Matches of the fixed patterns all stay; of a random token the parts that they do not
+    cover are added. A NULL text is empty; repeated rows are returned as often; a corpus
+    without tokens rejects none. A column named ``secrets`` is replaced; columns named
+    ``_assign``, ``_access``, ``_hex``, ``_tokens`` or ``_base`` are dropped.
     """
     limits = rejected_from(documents, false_discovery)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -199,16 +274,16 @@ def secrets(documents: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> D
     )
     fixed = fixed.withColumn("_base", F.concat(spans("_assign", 0), spans("_access", 1), spans("_hex", 2)))
 
-    def stays(c: Column) -> Column:
+    def is_random(c: Column) -> Column:
         below = F.lit(True)
         for size, step in sorted(limits.items()):
             below = below & ((c["class"] != size) | (c["step"] < step))
-        free = ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return below & free
+        return below
 
-    added = F.transform(
-        F.filter("_tokens", stays), lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end"))
-    )
+    fixed = fixed.withColumn("_tokens", F.filter("_tokens", is_random))
+    rest = lambda covered: F.flatten(F.transform("_tokens", lambda c: _uncovered(c, covered)))
+    none = F.expr("array()").cast("array<struct<start:int,kind:int,end:int>>")
+    added = F.when(F.size("_tokens") > 0, _named(_union(F.col("_base")), rest)).otherwise(none)
     return fixed.withColumn("secrets", F.array_sort(F.concat("_base", added))).drop(
         "_assign", "_access", "_hex", "_tokens", "_base"
     )
@@ -216,24 +291,30 @@ def secrets(documents: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> D
 
 def masked(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every span of ``secrets`` in ``text`` replaced by ``mark``; spans that meet are one."""
-    pieces = F.aggregate(
-        "secrets",
-        F.struct(F.lit(0).alias("upto"), F.expr("array()").cast("array<string>").alias("parts")),
-        lambda seen, s: F.struct(
-            F.greatest(seen["upto"], s["end"]).alias("upto"),
-            F.when(
-                (s["start"] >= seen["upto"]) & (s["end"] > s["start"]),
-                F.concat(
-                    seen["parts"],
-                    F.array(F.concat(F.substr(F.col("text"), seen["upto"] + 1, s["start"] - seen["upto"]), F.lit(mark))),
-                ),
+
+    def of_chunks(chunks: Column):
+        def piece(start: Column, end: Column) -> Column:
+            """The text from start to end; only the chunks that it reaches into are looked at."""
+            last = F.floor((F.greatest(end - 1, start)) / F.lit(CHUNK)).cast("int")
+            numbers = F.sequence(F.floor(start / F.lit(CHUNK)).cast("int"), last)
+            within = lambda c: F.substr(
+                F.get(chunks, c),
+                F.greatest(start - c * CHUNK, F.lit(0)) + 1,
+                F.least(end - c * CHUNK, F.lit(CHUNK)) - F.greatest(start - c * CHUNK, F.lit(0)),
             )
-            .otherwise(seen["parts"])
-            .alias("parts"),
-        ),
-        lambda seen: F.concat(F.array_join(seen["parts"], ""), F.substr(F.col("text"), seen["upto"] + 1)),
+            return F.when(start < end, F.array_join(F.transform(numbers, within), "")).otherwise("")
+
+        def pieces(covered: Column) -> Column:
+            starts = F.concat(F.array(F.lit(0)), F.transform(covered, lambda s: s["end"]))
+            ends = F.concat(F.transform(covered, lambda s: s["start"]), F.array(F.length("text")))
+            return F.array_join(F.zip_with(starts, ends, piece), mark)
+
+        return _named(_union(F.col("secrets")), pieces)
+
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return documents.withColumn(
+        "text", F.when(F.size("secrets") > 0, _named(chunks, of_chunks)).otherwise(F.col("text"))
     )
-    return documents.withColumn("text", F.when(F.size("secrets") > 0, pieces).otherwise(F.col("text")))
 
 
 def secret_digest(documents: DataFrame) -> DataFrame:
