@@ -9,19 +9,23 @@ targets, at the least squared distance from a rate of one.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditpath.llm.common import BROADCAST_ROWS, SPACES, hinted, stash, sum_at, words_between
+from creditpath.llm.common import BROADCAST_ROWS, SPACES, hinted, literal_array, stash, sum_at, words_between
 
 # Buckets of the hashed words, and the count added to each.
 BUCKETS, SMOOTHING = 1 << 13, 0.5
 # Probabilities are rounded to this step, so documents of equal membership share a cell of the fit.
 GRID = 0.01
-# Weight of the distance from a rate of one, the number of gradient steps.
-PULL, STEPS = 0.001, 15
+# Weight of the distance from a rate of one, and the number of projected gradient steps.
+PULL, STEPS = 0.001, 8
+# Difference of errors and totals at which rates are settled, and most solutions with new zero rates.
+TOLERANCE, MAX_SOLVES = 1e-9, 50
 # Shares of the tokens in the mixture.
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 MAX_DOMAINS = 8
@@ -98,44 +102,87 @@ def _rounded(posteriors: Column, grid: float) -> Column:
     return F.transform(posteriors, lambda p: F.round(p * steps).cast("int"))
 
 
-def _rate_after(gradients: list[list[float]], cell: Column, grid: float) -> Column:
-    """The rate of a cell after the projected steps; ``gradients`` has each step's pull on every domain."""
-    rate = F.lit(1.0)
-    for step in gradients:
-        pull = F.lit(0.0)
-        for d, g in enumerate(step[:-1]):
-            pull = pull + F.lit(g * grid) * F.get(cell, d)
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - step[-1]) + F.lit(step[-1]) - pull)
-    return rate
+def _after(steps: list[list[float]], cell: Column, grid: float) -> Column:
+    """The rate of a cell after some projected steps; each has its pull on every domain and towards one."""
 
+    def step(rate: Column, pulls: Column) -> Column:
+        domains = F.slice(pulls, 1, F.size(pulls) - 1)
+        down = F.aggregate(F.zip_with(domains, cell, lambda g, p: g * p), F.lit(0.0), lambda a, b: a + b) * F.lit(grid)
+        return F.greatest(F.lit(0.0), rate - down - F.element_at(pulls, -1) * (rate - 1))
 
-def fit_rates(cells: DataFrame, targets: list[float], grid: float, pull: float = PULL, steps: int = STEPS) -> list[list[float]]:
-    """The steps of projected gradient descent over ``cells`` (cell, tokens).
+    return F.aggregate(literal_array(steps, "array<double>"), F.lit(1.0), step) if steps else F.lit(1.0)
+
+
+def rate_of(errors: list[float], cell: Column, grid: float, pull: float = PULL) -> Column:
+    """The rate at which a cell's gradient is zero, given the domains' errors, or zero if that is negative."""
+    down = sum((F.lit(e * grid / pull) * F.get(cell, d) for d, e in enumerate(errors)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.lit(1.0) - down)
+
+
+def fit_rates(
+    cells: DataFrame, targets: list[float], grid: float, pull: float = PULL, steps: int = STEPS, tolerance: float = TOLERANCE
+) -> tuple[list[float], list[float]]:
+    """The domains' errors from which :func:`rate_of` gives each cell's rate, and the totals that the rates meet.
 
     With w the share of a cell's tokens, p its membership, r its rate and m the share of
     a domain at rates of one, minimises
         sum over domains (sum w p r - target)^2 / m / 2 + pull * sum w (r - 1)^2 / 2
-    in the metric of w, in which a step of one never overshoots. Every step sums over the
-    cells in Spark; a number per domain comes to the driver.
+    in the metric of w, in which a projected gradient step of one never overshoots. ``steps`` such
+    steps tell which rates are zero. Where they are not, the minimum is linear in the domains'
+    errors (total - target) / m: these are solved for, the zero rates are found anew, and so on
+    until the errors agree with the totals to ``tolerance``; a warning says when they do not.
+    Every step sums over the cells in Spark; a few numbers per domain come to the driver.
     """
+    n = len(targets)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return []
-
-    def sums(gradients: list[list[float]]) -> list[float]:
-        rate = _rate_after(gradients, F.col("cell"), grid)
-        part = F.col("tokens") * rate * F.lit(grid / total)
-        return list(cells.agg(*[F.sum(part * F.get("cell", d)) for d in range(len(targets))]).first())
-
-    size = 1.0 / (1.0 + pull)
-    base = sums([])
-    now, gradients = base, []
-    for step in range(steps):
-        errors = [(s - t) / m if m > 0 else 0.0 for s, t, m in zip(now, targets, base)]
-        gradients.append([size * e for e in errors] + [size * pull])
-        if step + 1 < steps:
-            now = sums(gradients)
-    return gradients
+        return [0.0] * n, [0.0] * n
+    weight = F.col("tokens") * F.lit(1.0 / total)
+    p = [F.get("cell", d) * F.lit(grid) for d in range(n)]
+
+    def totals(rate: Column) -> np.ndarray:
+        return np.array(list(cells.withColumn("rate", rate).agg(*[F.sum(weight * F.col("rate") * x) for x in p]).first()))
+
+    size, wanted = 1.0 / (1.0 + pull), np.array(targets)
+    base = totals(F.lit(1.0))
+    used, pending, met = base > 0, [], base
+    shares = np.where(used, base, 1.0)
+    for _ in range(steps):
+        errors = np.where(used, (met - wanted) / shares, 0.0)
+        pending.append([*(size * errors).tolist(), size * pull])
+        met = totals(_after(pending, F.col("cell"), grid))
+
+    def on_face(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Over the cells with a rate above zero: sums of w p and of w p p'."""
+        free = cells.withColumn("rate", rate).where("rate > 0")
+        pairs = [F.sum(weight * p[i] * p[j]) for i in range(n) for j in range(n)]
+        row = [x or 0.0 for x in free.agg(*[F.sum(weight * x) for x in p], *pairs).first()]
+        return np.array(row[:n]), np.array(row[n:]).reshape(n, n)
+
+    def solved(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        left = np.diag(shares) + second / pull
+        left[~used, :], left[:, ~used] = 0, 0
+        left[~used, ~used] = 1
+        return np.linalg.solve(left, np.where(used, first - wanted, 0.0))
+
+    errors = solved(*on_face(_after(pending, F.col("cell"), grid)))
+    move, off_before = np.zeros(n), np.inf
+    for _ in range(MAX_SOLVES):
+        first, second = on_face(rate_of(errors.tolist(), F.col("cell"), grid, pull))
+        met = first - second @ errors / pull
+        off = np.abs(np.where(used, met - wanted - shares * errors, 0.0)).max()
+        if off <= tolerance:
+            break
+        if off > off_before:
+            # Too far: back by half.
+            move = move / 2
+            errors = errors - move
+            continue
+        off_before, move = off, solved(first, second) - errors
+        errors = errors + move
+    else:
+        warnings.warn(f"rates not settled: totals {met.tolist()} for targets {targets}", stacklevel=2)
+    return errors.tolist(), met.tolist()
 
 
 def mixture(
@@ -170,6 +217,6 @@ def mixture(
     rows = stash(rows.withColumn("_cell", _rounded(F.col("posteriors"), grid)).select(*kept, "n_tokens", "posteriors", "_cell"), "posteriors")
     cells = stash(rows.groupBy(F.col("_cell").alias("cell")).agg(F.sum("n_tokens").alias("tokens")), "cells")
     share = sum(targets.values())
-    gradients = fit_rates(cells, [targets[d] / share for d in domains], grid, pull, steps)
-    rate = _rate_after(gradients, F.col("_cell"), grid)
+    errors, _ = fit_rates(cells, [targets[d] / share for d in domains], grid, pull, steps)
+    rate = rate_of(errors, F.col("_cell"), grid, pull)
     return rows.select(*kept, "n_tokens", *[F.col("posteriors")[i].alias(name) for i, name in enumerate(names)], rate.alias("rate"))
