@@ -128,6 +128,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     # At most 2 * sample_rows ids.
     chosen = some(labels.where("quality = 1"), 1).unionByName(some(documents, 0))
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # A doc_id on many rows counts once, so no more than the chosen ids reach the driver.
+    rows = rows.groupBy("_id", "_positive").agg(F.min("text").alias("text"))
     rows, names = with_features(rows)
     found = rows.select("_positive", *names).toPandas().sort_values(["_positive", *names], ignore_index=True)
     x, is_positive = found[names].to_numpy(dtype=float), found["_positive"].to_numpy() == 1
@@ -144,7 +146,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 def classified(documents: DataFrame, model: dict[str, float]) -> DataFrame:
     """``documents`` with score (0 to 1, also for empty texts) and predicted (1 if score >= 0.5).
 
-    Further columns are kept; columns named score, predicted or as a feature are replaced.
+    Further columns are kept; columns named score, predicted or as a feature are replaced, those
+    named as a helper of the features (``_chars``, ``_words``, ``_n``, ``_kinds``, ``_upper`` ...) dropped.
     """
     scored, names = with_features(documents)
     total = F.lit(model["intercept"])
