@@ -172,10 +172,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             yield pa.RecordBatch.from_arrays([toxic, pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
     key = F.xxhash64("doc_id", "text")
-    sample = labelled.where("toxic = 1").orderBy(key).limit(sample_rows).unionByName(
-        labelled.where("toxic = 0").orderBy(key).limit(sample_rows)
-    )
-    found = sample.select("text", "toxic").mapInArrow(features, "toxic int, found array<int>").toPandas()
+    parts = []
+    for kind in (0, 1):
+        rows = labelled.where(F.col("toxic") == kind).withColumn("key", key)
+        # The hash up to which rows are taken; only hashes are sorted, and texts stay where they are.
+        last = rows.select("key").orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]
+        kept = rows.where(F.col("key") <= last).select("text", "toxic")
+        # Equal rows have one hash; the limit leaves out repetitions beyond the number.
+        parts.append(kept.mapInArrow(features, "toxic int, found array<int>").limit(sample_rows))
+    found = parts[0].unionByName(parts[1]).toPandas()
     found = found.assign(order=[(t, *f) for t, f in zip(found["toxic"], found["found"])]).sort_values("order")
     is_toxic = found["toxic"].to_numpy(dtype=float)
     rows = np.repeat(np.arange(len(found)), [len(f) for f in found["found"]])

@@ -1,7 +1,9 @@
 """Operators that SQL cannot state: brute force, small pages and held-out accuracy."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from creditpath.llm.components import components
 from creditpath.llm.html_extraction import extracted, main_text
-from creditpath.llm.language_id import languages
+from creditpath.llm.language_id import Segmenter, languages, words_of
 from creditpath.llm.quality_classifier import quality_scores
-from creditpath.llm.simhash import fingerprint, fingerprint_groups, near_duplicate_classes
+from creditpath.llm.simhash import _cross_links, fingerprint, fingerprint_groups, near_duplicate_classes
 
 FOLDER = f"{DATA}/sf0.01"
 
@@ -183,3 +185,68 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     clean = corpus_pipeline.decontaminated(spark, docs, FOLDER)
     got = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=order)
     assert got == sorted((r for r in rows if passage not in r[1]), key=order)
+
+
+def all_segmentations(word, pieces, probabilities):
+    """The sum over all segmentations by trying each, an unknown character as a piece of its own."""
+    total = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(j):
+            piece = word[i:j]
+            p = probabilities.get(piece, 1e-7 if len(piece) == 1 else 0.0)
+            total[j] += total[i] * p
+    return total[-1]
+
+
+def test_sums_over_words_and_pieces_of_any_length():
+    rng = random.Random(6)
+    pieces = sorted({"▁", "a", "b", "ab", "ba", "▁a", "abab", "a" * 14, "b" * 20, "▁" + "ab" * 9})
+    probabilities = np.array([[rng.random() / 4, rng.random() / 4] for _ in pieces])
+    segmenter = Segmenter(pieces)
+    table = segmenter.table(probabilities)
+    words = ["a", "ba", "abab", "x", "a" * 20, "ab" * 9, "b" * 31, "ab" * 16, "b" * 33, "ab" * 40, "axb" * 30]
+    got = segmenter.log_probabilities(words, table)
+    for i, word in enumerate(words):
+        for lang in range(2):
+            want = all_segmentations("▁" + word, pieces, dict(zip(pieces, probabilities[:, lang])))
+            assert math.isclose(got[i, lang], math.log(want), rel_tol=1e-9)
+            assert math.isclose(segmenter.long_word(word, table)[lang], math.log(want), rel_tol=1e-9)
+    assert np.isfinite(segmenter.long_word("abx" * 3000, table)).all()
+    # Uses of pieces, weighted by length, add up to the letters; the same with and without rescaling.
+    for word in ("ab" * 15, "ab" * 60):
+        uses = segmenter.expected([word], np.array([[1.0, 2.0]]), table)
+        lengths = np.array([*map(len, pieces), 1, 0])
+        assert np.allclose(lengths @ uses, np.array([1, 2]) * (len(word) + 1))
+
+
+def test_texts_without_letters_and_rare_languages(spark):
+    rng = random.Random(7)
+    langs = {"aa": "kala tiro misu", "bb": "zweg brunf schti"}
+    rows = [(i, " ".join(rng.choices(langs["aa"].split(), k=8)), "aa") for i in range(3000)]
+    rows += [(5000 + i, " ".join(rng.choices(langs["bb"].split(), k=8)), "bb") for i in range(8)]
+    rows += [(9001, "½ ² 12 _ !", "aa"), (9002, None, "bb"), (9003, "", None), (9004, "brunf zweg", None), (None, "kala", "aa")]
+    rows += [(9005, "zwegbrunf" * 4000, None)]
+    df = spark.createDataFrame([(*r, 0.1, "x") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string")
+    got = {r["doc_id"]: r["lang_pred"] for r in languages(df, sample_rows=50).collect()}
+    assert [got[i] for i in (9001, 9002, 9003)] == ["und"] * 3
+    assert got[9004] == got[9005] == "bb" and got[None] == "aa"
+    assert all(got[5000 + i] == "bb" for i in range(8))
+    assert words_of("हिन्दी café ½") == ["हिन्दी", "café"]
+
+
+def test_close_fingerprints_of_one_root_make_no_pairs(spark):
+    """Signatures held by one group only are not paired."""
+    centre = 0x1234_5678_9ABC_DEF0
+    numbers = {centre} | {centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)}
+    numbers = [n - (1 << 64) if n >> 63 else n for n in numbers]
+    grouped = spark.createDataFrame([(n, 1) for n in numbers], "fp long, root long")
+    assert _cross_links(grouped, 4).count() == 0
+    other = spark.createDataFrame([(numbers[0], 1), (numbers[1], 2), (numbers[2], 1)], "fp long, root long")
+    assert _cross_links(other, 4).count() > 0
+
+
+def test_a_doc_id_on_many_rows_counts_once_in_the_fit(spark):
+    docs = [(1, f"text {i}") for i in range(3000)] + [(i, f"Some good words here, {i}.") for i in range(2, 60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    assert quality_scores(docs, labels).count() == docs.count()

@@ -1,8 +1,10 @@
 """Operators that SQL or a small brute-force program can state."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from conftest import DATA
@@ -12,7 +14,7 @@ from creditpath.llm import queries
 from creditpath.llm.chat import chat_digest, escaped, final_messages, format_chats, unescaped
 from creditpath.llm.decontamination import contamination
 from creditpath.llm.license_scan import NOTICES, licenses
-from creditpath.llm.mixing import mixture
+from creditpath.llm.mixing import PULL, fit_rates, mixture, rate_of
 from creditpath.llm.quality_rules import fit_log_ratios, quality_rules
 from creditpath.llm.secrets import masked, secret_digest, secrets
 from tools.compare import connect, difference
@@ -212,3 +214,78 @@ def test_mixture_meets_targets(spark):
     assert min(r["rate"] for r in got) >= 0
     assert mixture(docs.limit(0), labelled, {"a": 1, "b": 1}).count() == 0
     assert mixture(docs, labelled.limit(0), {"a": 1, "b": 1}).where("p_a <> 0.5").count() == 0
+
+
+def union_of(spans):
+    covered = set()
+    for start, end in spans:
+        covered |= set(range(start, end))
+    return covered
+
+
+def test_many_spans_of_one_text_by_brute_force(spark):
+    """Positions over block borders, and the parts of random tokens outside of fixed patterns."""
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = []
+    for _ in range(700):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(10, 30)))
+        noise = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 30)))
+        parts.append(rng.choice([hexes, noise, f"é{noise}-{hexes}+{noise}", f"token={noise}", "AKIA" + noise.upper()]))
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, "a" * 5000 + " " + text)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in masked(secrets(docs)).collect()}
+    for doc_id, whole in ((1, text), (3, "a" * 5000 + " " + text)):
+        spans = [(s["start"], s["kind"], s["end"]) for s in found[doc_id]["secrets"]]
+        assert spans == sorted(spans)
+        hexes = [m.span() for m in re.finditer("[0-9a-f]{16,}", whole)]
+        assert [(a, b) for a, kind, b in spans if kind == 2] == hexes
+        base = union_of((a, b) for a, kind, b in spans if kind < 3)
+        tokens = [m.span() for m in re.finditer("[A-Za-z0-9+/_-]{20,}", whole)]
+        for a, kind, b in spans:
+            if kind == 3:
+                # A part of one token, outside of the fixed spans, and as long as it can be.
+                (token,) = [t for t in tokens if t[0] <= a and b <= t[1]]
+                assert not base & set(range(a, b))
+                assert (a == token[0] or a - 1 in base) and (b == token[1] or b in base)
+                rest = set(range(*token)) - base
+                added = union_of((x, y) for x, k, y in spans if k == 3)
+                assert rest <= added
+        hidden = union_of((a, b) for a, _, b in spans)
+        marks = "".join("\0" if i in hidden else c for i, c in enumerate(whole))
+        assert clean[doc_id] == re.sub("\0+", "[SECRET]", marks)
+
+
+def test_part_of_a_random_token_outside_of_a_hex_span(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    before, after = ("".join(rng.choice(letters) for _ in range(60)) for _ in range(2))
+    text = f"{before}Zb3f09a6e51c7d284Q{after} x"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_digest(docs).first()["spans"] == "random:0:61,hex:61:77,random:77:138"
+    assert masked(secrets(docs)).first()["text"] == "[SECRET] x"
+
+
+@pytest.mark.parametrize("targets", [[0.3, 0.7], [0.9, 0.1], [0.02, 0.98]])
+def test_rates_settle_at_the_optimum(spark, targets):
+    """Against projected gradients in numpy that run much longer; low targets hold rates at zero."""
+    cells = [([100, 0], 500), ([90, 10], 200), ([50, 50], 900), ([10, 90], 300), ([0, 100], 400), ([30, 70], 0)]
+    df = spark.createDataFrame(cells, "cell array<int>, tokens long")
+    errors, met = fit_rates(df, targets, 0.01)
+    rates = df.select("cell", rate_of(errors, F.col("cell"), 0.01).alias("rate"))
+    p = np.array([c for c, _ in cells]) / 100
+    w = np.array([t for _, t in cells]) / sum(t for _, t in cells)
+    m, r = w @ p, np.ones(len(cells))
+    for _ in range(100_000):
+        pulls = p @ (((w * r) @ p - targets) / m) + PULL * (r - 1)
+        r = np.maximum(0, r - pulls / (1 + PULL))
+    got = {tuple(x["cell"]): x["rate"] for x in rates.collect()}
+    assert met == pytest.approx(list((w * r) @ p), abs=1e-6)
+    assert [got[tuple(c)] for c, t in cells if t] == pytest.approx(list(r[w > 0]), abs=1e-4)
+
+
+def test_unsettled_rates_give_a_warning(spark):
+    cells = spark.createDataFrame([([100, 0], 5), ([0, 100], 5)], "cell array<int>, tokens long")
+    with pytest.warns(UserWarning, match="not settled"):
+        fit_rates(cells, [0.9, 0.1], 0.01, tolerance=-1.0)
