@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from creditpath.llm.components import components
-from creditpath.llm.html_extraction import extracted, main_text
+from creditpath.llm import html_extraction
+from creditpath.llm.html_extraction import Shape, aligned, extracted, main_text
 from creditpath.llm.language_id import Segmenter, languages, words_of
 from creditpath.llm.quality_classifier import quality_scores
 from creditpath.llm.simhash import fingerprint, fingerprint_groups, near_duplicate_classes
@@ -153,6 +154,78 @@ def test_template_counts_all_pages_of_all_layouts(spark):
     assert all(found[30 + i] == f"Text {i}" for i in range(10)) and found[40] == "Text 0" and found[41] == "Text 1"
 
 
+def test_constant_text_inside_of_an_article_stays(spark):
+    recipe = (
+        "<div>Cooking site</div><article><h1>Dish {0}</h1><p>Story {0}</p><h2>Ingredients</h2><ul><li>salt<li>item {0}</ul>"
+        "<h2>Method</h2><p>Cook {0}</p><p>Tell your friends</p></article><div>All rights</div>"
+    )
+    byline = "<article><h1>News {0}</h1><p>By {1}</p><p>Story {0}</p></article><div>Contact</div>"
+    pages = [(f"http://a.example/{i}", recipe.format(i)) for i in range(10)]
+    pages += [(f"http://b.example/{i}", byline.format(i, "Ann" if i < 4 else f"Guest {i}")) for i in range(10)]
+    found = texts_of(spark, pages)
+    for i in range(10):
+        assert found[i] == f"Dish {i}\n\nStory {i}\n\nIngredients\n\nsalt\n\nitem {i}\n\nMethod\n\nCook {i}"
+        assert found[10 + i] == f"News {i}\n\nBy {'Ann' if i < 4 else f'Guest {i}'}\n\nStory {i}"
+
+
+def test_slots_are_aligned_by_order_and_not_by_position(spark):
+    page = "<div><p>Breaking{0}</p></div><section>{1}<p>Text {0}</p><p>Also {0}</p></section><div>Imprint</div><div>{2}</div>"
+    pages = [
+        (f"http://a.example/{i}", page.format(i, f"<p>Extra {i}</p>" * (i % 3), "Imprint" if i == 1 else f"Seen {i} times"))
+        for i in range(9)
+    ]
+    found = texts_of(spark, pages)
+    for i in range(9):
+        blocks = [f"Breaking{i}", *[f"Extra {i}"] * (i % 3), f"Text {i}", f"Also {i}"]
+        assert found[i].split("\n\n")[: len(blocks)] == blocks
+
+
+def random_shape(rng, size):
+    ups = [-1] + [rng.randrange(at) for at in range(1, size)]
+    # Children follow their parents in page order.
+    below = {at: [c for c in range(1, size) if ups[c] == at] for at in range(size)}
+    order, stack = [], [0]
+    while stack:
+        order.append(stack.pop())
+        stack.extend(reversed(below[order[-1]]))
+    place = {at: n for n, at in enumerate(order)}
+    labels = [0 if not n else rng.randrange(2) for n in range(size)]
+    return Shape([place.get(ups[at], -1) for at in order], labels, [rng.randrange(3) for _ in order])
+
+
+def plain_score(one, two, i, j):
+    """Simple tree matching as it is written down: all prefixes of both child lists."""
+    if one.labels[i] != two.labels[j]:
+        return 0
+    a, b = one.children[i], two.children[j]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for m, x in enumerate(a, 1):
+        for n, y in enumerate(b, 1):
+            best[m][n] = max(best[m - 1][n], best[m][n - 1], best[m - 1][n - 1] + plain_score(one, two, x, y))
+    return 1 + (one.keys[i] == two.keys[j] != 0) + best[-1][-1]
+
+
+def test_tree_matching_against_brute_force(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(400):
+        one, two = random_shape(rng, rng.randint(1, 14)), random_shape(rng, rng.randint(1, 14))
+        pairs = aligned(one, two)
+        assert pairs[0] == (0, 0) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        partner = dict(pairs)
+        assert all(partner[one.ups[i]] == two.ups[j] for i, j in pairs[1:])
+        by_page = sorted(pairs)
+        siblings = [(x, y) for x, y in zip(by_page, by_page[1:]) if one.ups[x[0]] == one.ups[y[0]]]
+        assert all(x[1] < y[1] for x, y in siblings)
+        got = sum(1 + (one.keys[i] == two.keys[j] != 0) for i, j in pairs)
+        assert got == plain_score(one, two, 0, 0)
+    # Long lists of children are split at those that are equal and single.
+    monkeypatch.setattr(html_extraction, "LEAF_PAIRS", 100)
+    n = 300
+    one = Shape([-1] + [0] * n, [7] * (n + 1), [0] + list(range(1, n + 1)))
+    two = Shape([-1] + [0] * (n - 5), [7] * (n - 4), [0] + [k for k in range(1, n + 1) if k % 60])
+    assert all(one.keys[i] == two.keys[j] for i, j in aligned(one, two)) and len(aligned(one, two)) == n - 4
+
+
 def test_marked_wrappers_keep_the_page(spark):
     for page in (
         "<div class='layout with-sidebar'><p>Whole text</p></div><nav>Menu of links</nav>",
