@@ -205,7 +205,9 @@ def plain_score(one, two, i, j):
     return 1 + (one.keys[i] == two.keys[j] != 0) + best[-1][-1]
 
 
-def test_tree_matching_against_brute_force(monkeypatch):
+@pytest.mark.parametrize("small", [0, 1_000])
+def test_tree_matching_against_brute_force(monkeypatch, small):
+    monkeypatch.setattr(html_extraction, "SMALL_PAIRS", small)
     rng = random.Random(5)
     for _ in range(400):
         one, two = random_shape(rng, rng.randint(1, 14)), random_shape(rng, rng.randint(1, 14))
