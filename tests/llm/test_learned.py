@@ -9,8 +9,8 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from creditpath.llm import html_extraction, simhash
 from creditpath.llm.components import components
-from creditpath.llm import html_extraction
 from creditpath.llm.html_extraction import Shape, aligned, extracted, main_text
 from creditpath.llm.language_id import Segmenter, languages, words_of
 from creditpath.llm.quality_classifier import quality_scores
@@ -50,6 +50,21 @@ def test_fingerprint_groups_against_brute_force(spark):
     assert {n: found.get(n, n) for n in numbers} == classes_of(numbers)
 
 
+def test_a_large_group_is_not_paired_with_itself(spark):
+    base = 0x123456789ABCDEF
+    large = [base ^ (1 << a) ^ (1 << b) for a in range(46, 62) for b in range(46, a)]
+    strays = [base ^ (1 << 3) ^ (1 << 50), base ^ (7 << 30) ^ (1 << 58)]
+    rows = [(n, 1) for n in large]
+    assert simhash._candidates(spark.createDataFrame(rows, "fp long, root long")).count() == 0
+    rows += [(n, 10 + i) for i, n in enumerate(strays)]
+    pairs = simhash._candidates(spark.createDataFrame(rows, "fp long, root long"))
+    found = [(r["u"], r["v"]) for r in pairs.collect()]
+    # At most each stray with each member, under each of the signatures; one of a pair is a stray.
+    assert 0 < len(found) <= 2 * 47 * len(rows) and all(u in strays or v in strays for u, v in found)
+    near = {tuple(sorted(p)) for p in found if (p[0] ^ p[1]).bit_count() <= 4}
+    assert near == {tuple(sorted((s, n))) for i, s in enumerate(strays) for n in large + strays[:i] if (s ^ n).bit_count() <= 4}
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     found = dict(components(spark.createDataFrame(links, "u long, v long")).collect())
