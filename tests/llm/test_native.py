@@ -201,6 +201,41 @@ def test_wrapped_licenses(spark):
     }
 
 
+@pytest.mark.parametrize(
+    "text, families",
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache,mit"),
+        ("// spdx-license-identifier: (GPL-2.0-only WITH Linux-syscall-note) AND EPL-2.0", "epl,gpl"),
+        ("SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: Acme-1.0", ""),
+        ("Licensed under the BSD License.", "bsd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("This program is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("This Source Code Form is subject to the terms of the Acme Public License, v. 1.0.", ""),
+        ("This work is not licensed under the MIT License", ""),
+        ("This code is not released\nunder the MIT License.", ""),
+    ],
+)
+def test_expressions_and_foreign_licenses(spark, license_answers, text, families):
+    assert license_answers[text] == families
+
+
+@pytest.fixture(scope="module")
+def license_answers(spark, request):
+    marks = test_expressions_and_foreign_licenses.pytestmark
+    texts = [t for m in marks if m.name == "parametrize" for t, _ in m.args[1]]
+    plain = [(i, f"ordinary words of line {i}\nand the terms of another {i}") for i in range(40)]
+    found = licenses(docs_of(spark, *plain, *((100 + i, t) for i, t in enumerate(texts))))
+    return {texts[r["doc_id"] - 100]: r["families"] for r in found.where("doc_id >= 100").collect()}
+
+
+def test_many_notices_of_one_text(spark):
+    """Each of many wrapped notices is found, in one block and apart, with the place of its first line."""
+    note = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n"
+    rows = licenses(docs_of(spark, (1, note * 300), (2, (note + "\n") * 300), (3, "x"))).orderBy("doc_id").collect()
+    assert [[n["paragraph"] for n in r["notices"]] for r in rows] == [list(range(0, 900, 3)), list(range(0, 1200, 4)), []]
+
+
 def test_mixture_meets_targets(spark):
     rows = [(i, "good fine words " * 20 if i % 2 else "bad sad tokens " * 10) for i in range(60)]
     docs = docs_of(spark, *rows, (60, None), (61, ""), (None, "good"), (1, rows[1][1]))
