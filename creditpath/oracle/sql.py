@@ -104,6 +104,13 @@ JOIN (SELECT event_id, uid, product_stars, conversion FROM t_ev) e USING (uid, p
 """
 
 RESULTS["bronze_ingest"] = "SELECT uid, date_trunc('second', time) AS time, interaction, channel, conversion FROM t_ev"
+RESULTS["dated_bronze"] = """
+SELECT uid, date_trunc('second', time) AS time, interaction, channel, conversion, cast(time AS date) AS day FROM t_ev
+"""
+RESULTS["compacted_bronze_days"] = """
+SELECT cast(time AS date) AS day, count(*) AS n_events, cast(sum(conversion) AS bigint) AS n_conversions
+FROM t_ev WHERE cast(time AS date) > (SELECT max(cast(time AS date)) FROM t_ev) - 7 GROUP BY ALL
+"""
 RESULTS["rate_lookup"] = """
 SELECT event_id, channel, product_stars, cpm, cpc, order_value
 FROM t_ev JOIN t_cpm USING (channel) JOIN t_value USING (product_stars)

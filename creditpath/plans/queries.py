@@ -15,8 +15,11 @@ from creditpath.plans.stages import KEYED, Stages, named
 from creditpath.session import scratch_path
 from creditpath.sources import tables
 from creditpath.sources.bucketed import BucketedTable, newest_rows
+from creditpath.sources.dated import DatedTable
 from creditpath.sources.event_log import JOURNEY, read_events, with_channel
 from creditpath.sources.raw_log import typed, write_raw
+from creditpath.sources.schemas import BRONZE
+from creditpath.streaming.dated import ingest_dated
 from creditpath.streaming.ingest import ingest, stream_raw
 from creditpath.streaming.upsert import stream_upsert as merge_stream
 from creditpath.streaming.windows import stream_conversions
@@ -110,6 +113,35 @@ def hourly_conversions(s: Stages) -> DataFrame:
     return hours
 
 
+def _dated(s: Stages) -> DatedTable:
+    """Bronze by date from two deliveries, a few files per micro-batch, compacted after the first one."""
+    source, seen, path = (scratch_path(s.spark, part) for part in ("raw", "seen", "dated"))
+    table = DatedTable(s.spark, path, BRONZE)
+    table.create()
+    for number, rows in enumerate(_arrivals(s)):
+        write_raw(rows.repartition(4), f"{source}/delivery={number}")
+        ingest_dated(table, f"{source}/delivery=*", seen, 3)
+        if number == 0:
+            table.compact()
+    return table
+
+
+@query
+def dated_bronze(s: Stages) -> DataFrame:
+    return _dated(s).read()
+
+
+@query
+def compacted_bronze_days(s: Stages) -> DataFrame:
+    """Events and conversions of the last seven days of bronze, which are the only ones that are read."""
+    table = _dated(s)
+    table.compact()
+    rows = table.read()
+    last = rows.agg(F.max("day")).scalar()
+    recent = rows.where(F.col("day") > F.date_sub(last, 7))
+    return recent.groupBy("day").agg(F.count(F.lit(1)).alias("n_events"), F.sum("conversion").alias("n_conversions"))
+
+
 def _last_seen(rows: DataFrame) -> DataFrame:
     """Events as last-seen rows of their users."""
     seconds = F.date_trunc("second", F.col("time").cast("timestamp")).cast("timestamp_ntz").alias("time")
