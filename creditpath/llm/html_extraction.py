@@ -12,11 +12,10 @@ element bounds it only in layouts of a single page.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +32,14 @@ MIN_PAGES = 2
 ENOUGH, LEAST, SHARE = 3, 0.05, 0.9
 # Most layouts, and most nodes of their patterns, that are broadcast.
 BROADCAST_LAYOUTS = 20_000
-# Nodes deeper than this are aligned as children of their ancestor there. Child lists with more pairs
-# of leaves or of inner nodes are split at children that are equal and single in both.
-DEPTH, LEAF_PAIRS, INNER_PAIRS = 60, 1_000_000, 10_000
+# How the same alignment is computed: levels by calls (deeper ones by a stack), pairs of two child lists whose table is
+# held at once (of longer lists its rows are made again on the way back), scores held.
+LEVELS, LEAF_PAIRS, KNOWN = 60, 1_000_000, 500_000
 # Child lists with more pairs are aligned by rows of an array.
 SMALL_PAIRS = 1_000
+# In these, a child that holds leaves only is scored at once with all such children of the other list that hold at most
+# ``FLAT_WIDTH`` leaves, when there are so many of them.
+FLAT, FLAT_WIDTH = 16, 64
 # Share of a page's varying text that its core, the least node around it, holds.
 CORE = 0.8
 
@@ -221,7 +223,6 @@ def shape_of(rows: list[Row]) -> tuple[Shape, list[int]]:
     """The shape of an outline, and the place in the outline of each of its nodes."""
     at: list[int] = []
     ups: list[int] = []
-    depths: list[int] = []
     # The shape's node at or around each row.
     around: list[int] = []
     for place, (node, up, _, _) in enumerate(rows):
@@ -229,12 +230,9 @@ def shape_of(rows: list[Row]) -> tuple[Shape, list[int]]:
         if node.tag in INLINE:
             around.append(outer)
             continue
-        if outer >= 0 and depths[outer] >= DEPTH:
-            outer = ups[outer]
         around.append(len(at))
         at.append(place)
         ups.append(outer)
-        depths.append(depths[outer] + 1 if outer >= 0 else 0)
     labels = [_label(rows[p][0].tag, rows[p][0].marks) for p in at]
     return Shape(ups, labels, [rows[p][2] for p in at]), at
 
@@ -244,7 +242,9 @@ class _Matching:
 
     def __init__(self, one: Shape, two: Shape):
         self.one, self.two = one, two
+        # Scores by the identities of both subtrees; one that is dropped is made again.
         self.known: dict[tuple[int, int], int] = {}
+        self.level = 0
 
     def score(self, i: int, j: int) -> int:
         one, two = self.one, self.two
@@ -252,15 +252,47 @@ class _Matching:
             return 0
         if one.same[i] == two.same[j]:
             return one.full[i]
-        own = 1 + (one.keys[i] == two.keys[j] != 0)
         if not one.children[i] or not two.children[j]:
-            return own
-        if (i, j) not in self.known:
-            self.known[i, j] = own + sum(s for _, _, s in self.paired(one.children[i], two.children[j]))
-        return self.known[i, j]
+            return 1 + (one.keys[i] == two.keys[j] != 0)
+        found = self.known.get((one.same[i], two.same[j]))
+        if found is None:
+            found = self._scored(i, j) if self.level < LEVELS else self._from_below(i, j)
+        return found
 
-    def paired(self, a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-        """The best pairs of two child lists, in order: (child, child, score)."""
+    def _scored(self, i: int, j: int) -> int:
+        one, two = self.one, self.two
+        self.level += 1
+        found = 1 + (one.keys[i] == two.keys[j] != 0) + sum(s for _, _, s in self.paired(one.children[i], two.children[j]))
+        self.level -= 1
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        self.known[one.same[i], two.same[j]] = found
+        return found
+
+    def _from_below(self, i: int, j: int) -> int:
+        """The same without calls inside calls: the pairs of inner children are scored first."""
+        one, two = self.one, self.two
+        found = 0
+        stack = [(i, j, False)]
+        while stack:
+            x, y, ready = stack.pop()
+            if ready:
+                found = self._scored(x, y)
+            elif (one.same[x], two.same[y]) not in self.known or not stack:
+                stack.append((x, y, True))
+                start, end = self._equal_ends(one.children[x], two.children[y])
+                left = [c for c in one.children[x][start : len(one.children[x]) - end] if one.children[c]]
+                right = [d for d in two.children[y][start : len(two.children[y]) - end] if two.children[d]]
+                stack += [
+                    (c, d, False)
+                    for c in left
+                    for d in right
+                    if one.labels[c] == two.labels[d] and one.same[c] != two.same[d] and (one.same[c], two.same[d]) not in self.known
+                ]
+        return found
+
+    def _equal_ends(self, a: list[int], b: list[int]) -> tuple[int, int]:
+        """How many children at the beginning and at the end of both lists are equal."""
         one, two = self.one, self.two
         start, end = 0, 0
         least = min(len(a), len(b))
@@ -268,64 +300,50 @@ class _Matching:
             start += 1
         while end < least - start and one.same[a[-1 - end]] == two.same[b[-1 - end]]:
             end += 1
-        pairs = [(i, j, one.full[i]) for i, j in zip(a[:start], b[:start])]
-        pairs += self._between(a[start : len(a) - end], b[start : len(b) - end])
-        return pairs + [(i, j, one.full[i]) for i, j in zip(a[len(a) - end :], b[len(b) - end :])]
-
-    def _between(self, a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-        if not a or not b:
-            return []
-        inner = sum(bool(self.one.children[i]) for i in a) * sum(bool(self.two.children[j]) for j in b)
-        if inner <= INNER_PAIRS and len(a) * len(b) <= LEAF_PAIRS:
-            return self._best(a, b)
-        cuts = self._anchors(a, b)
-        if not cuts:
-            # Nothing to hold on to: place by place.
-            pairs = ((i, j, self.score(i, j)) for i, j in zip(a, b))
-            return [p for p in pairs if p[2]]
-        pairs, x, y = [], 0, 0
-        for i, j in cuts:
-            pairs += self._between(a[x:i], b[y:j])
-            pairs.append((a[i], b[j], self.one.full[a[i]]))
-            x, y = i + 1, j + 1
-        return pairs + self._between(a[x:], b[y:])
-
-    def _anchors(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """Places of children that are equal and single in both lists, the longest rising run of them."""
-        left, right = [self.one.same[i] for i in a], [self.two.same[j] for j in b]
-        often, also = Counter(left), Counter(right)
-        where = {s: j for j, s in enumerate(right) if also[s] == 1}
-        shared = [(i, where[s]) for i, s in enumerate(left) if often[s] == 1 and s in where]
-        tails: list[int] = []
-        ends: list[int] = []
-        before: list[int] = []
-        for n, (_, j) in enumerate(shared):
-            k = bisect_left(tails, j)
-            tails[k : k + 1] = [j]
-            ends[k : k + 1] = [n]
-            before.append(ends[k - 1] if k else -1)
-        run, n = [], ends[-1] if ends else -1
-        while n >= 0:
-            run.append(shared[n])
-            n = before[n]
-        return run[::-1]
+        return start, end
+
+    def paired(self, a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+        """The best pairs of two child lists, in order: (child, child, score)."""
+        full = self.one.full
+        start, end = self._equal_ends(a, b)
+        pairs = [(i, j, full[i]) for i, j in zip(a[:start], b[:start])]
+        if start + end < min(len(a), len(b)):
+            pairs += self._best(a[start : len(a) - end], b[start : len(b) - end])
+        return pairs + [(i, j, full[i]) for i, j in zip(a[len(a) - end :], b[len(b) - end :])]
 
     def _best(self, a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-        """The alignment of the highest score, by dynamic programming over both lists."""
-        scores, best = self._small(a, b) if len(a) * len(b) <= SMALL_PAIRS else self._by_rows(a, b)
-        pairs = []
+        """The alignment of the highest score, by dynamic programming over both lists.
+
+        The table is made in blocks of rows. Of each only the first row is kept; on the way
+        back through the table a block is made again, so the pairs are those of a whole table.
+        """
         m, n = len(a), len(b)
-        while m and n:
-            if best[m][n] == best[m][n - 1]:
-                n -= 1
-            elif best[m][n] == best[m - 1][n]:
-                m -= 1
-            else:
-                m, n = m - 1, n - 1
-                pairs.append((a[m], b[n], int(scores[m][n])))
+        if m * n <= SMALL_PAIRS:
+            height, block = m, self._small
+        else:
+            height, block = max(LEAF_PAIRS // n, isqrt(m)), self._by_rows(b)
+        tops = [None]
+        for low in range(0, m, height):
+            scores, best = block(a[low : low + height], b, tops[-1])
+            tops.append(best[-1])
+        pairs = []
+        for low in range((m - 1) // height * height, -1, -height):
+            if low + height < len(a):
+                if not n:
+                    break
+                scores, best = block(a[low : low + height], b, tops[low // height])
+            while m > low and n:
+                here = best[m - low]
+                if here[n] == here[n - 1]:
+                    n -= 1
+                elif here[n] == best[m - low - 1][n]:
+                    m -= 1
+                else:
+                    m, n = m - 1, n - 1
+                    pairs.append((a[m], b[n], int(scores[m - low][n])))
         return pairs[::-1]
 
-    def _small(self, a: list[int], b: list[int]) -> tuple[list, list]:
+    def _small(self, a: list[int], b: list[int], _top: None) -> tuple[list, list]:
         """The scores of all pairs and the best sums of all beginnings, cell by cell."""
         one, two = self.one, self.two
         others = [(j, two.labels[j], two.keys[j], bool(two.children[j])) for j in b]
@@ -347,23 +365,53 @@ class _Matching:
             best.append(sums)
         return scores, best
 
-    def _by_rows(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for long lists, a row at a time."""
+    def _by_rows(self, b: list[int]):
+        """The same for long lists, a row at a time, going on from the row ``top``."""
         one, two = self.one, self.two
         labels = np.array([two.labels[j] for j in b])
         keys = np.array([two.keys[j] for j in b])
         inner = [n for n, j in enumerate(b) if two.children[j]]
-        scores = np.zeros((len(a), len(b)), dtype=np.int64)
-        best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
-        for m, i in enumerate(a):
-            row = scores[m]
-            np.add(labels == one.labels[i], (labels == one.labels[i]) & (keys == one.keys[i]) & (keys != 0), out=row, dtype=np.int64)
-            if one.children[i]:
-                for n in inner:
-                    if row[n]:
-                        row[n] = self.score(i, b[n])
-            np.maximum.accumulate(np.maximum(best[m, 1:], best[m, :-1] + row), out=best[m + 1, 1:])
-        return scores, best
+        flat = [n for n in inner if len(two.children[b[n]]) <= FLAT_WIDTH and _is_flat(two, b[n])]
+        flat = flat if len(flat) >= FLAT else []
+        other = sorted(set(inner) - set(flat))
+        width = max((len(two.children[b[n]]) for n in flat), default=0)
+        held = [[two.children[b[n]][w] if w < len(two.children[b[n]]) else -1 for n in flat] for w in range(width)]
+        leaf_labels = np.array([[two.labels[c] if c >= 0 else 0 for c in at] for at in held])
+        leaf_keys = np.array([[two.keys[c] if c >= 0 else 0 for c in at] for at in held])
+        is_leaf = np.array([[c >= 0 for c in at] for at in held])
+
+        def flat_scores(i: int) -> np.ndarray:
+            """The best sums of the children of ``i`` and of each of ``flat``."""
+            last = np.zeros((width + 1, len(flat)), dtype=np.int32)
+            for c in one.children[i]:
+                like = (leaf_labels == one.labels[c]) & is_leaf
+                found = last[:-1] + like + (like & (leaf_keys == one.keys[c]) & (one.keys[c] != 0))
+                last[1:] = np.maximum.accumulate(np.maximum(last[1:], found), axis=0)
+            return last[-1]
+
+        def block(a: list[int], b: list[int], top: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            scores = np.zeros((len(a), len(b)), dtype=np.int32)
+            best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+            if top is not None:
+                best[0] = top
+            for m, i in enumerate(a):
+                row, like = scores[m], labels == one.labels[i]
+                np.add(like, like & (keys == one.keys[i]) & (one.keys[i] != 0), out=row, dtype=np.int32)
+                if one.children[i]:
+                    at_once = flat if _is_flat(one, i) else []
+                    if at_once:
+                        row[at_once] += flat_scores(i) * like[at_once]
+                    for n in other if at_once else inner:
+                        if row[n]:
+                            row[n] = self.score(i, b[n])
+                np.maximum.accumulate(np.maximum(best[m, 1:], best[m, :-1] + row), out=best[m + 1, 1:])
+            return scores, best
+
+        return block
+
+
+def _is_flat(shape: Shape, at: int) -> bool:
+    return not any(shape.children[c] for c in shape.children[at])
 
 
 def aligned(page: Shape, pattern: Shape) -> list[tuple[int, int]]:

@@ -243,6 +243,39 @@ def test_tree_matching_against_brute_force(monkeypatch, small):
     assert all(one.keys[i] == two.keys[j] for i, j in aligned(one, two)) and len(aligned(one, two)) == n - 4
 
 
+def score_of(one, two):
+    return sum(1 + (one.keys[i] == two.keys[j] != 0) for i, j in aligned(one, two))
+
+
+@pytest.mark.parametrize("limits", [{"LEVELS": 0}, {"LEVELS": 1, "KNOWN": 2}, {"LEAF_PAIRS": 1, "SMALL_PAIRS": 0}, {"SMALL_PAIRS": 0, "FLAT": 1}])
+def test_matching_is_the_same_however_it_is_computed(monkeypatch, limits):
+    rng = random.Random(6)
+    shapes = [(random_shape(rng, rng.randint(1, 30)), random_shape(rng, rng.randint(1, 30))) for _ in range(200)]
+    plain = [aligned(one, two) for one, two in shapes]
+    for name, value in limits.items():
+        monkeypatch.setattr(html_extraction, name, value)
+    assert [sorted(p) for p in plain] == [sorted(aligned(one, two)) for one, two in shapes]
+
+
+def test_deep_and_long_pages_are_aligned_by_the_same_rule():
+    def shape(html):
+        return html_extraction.shape_of(html_extraction.outline(html_extraction.parsed(html)))[0]
+
+    # Levels are kept, however deep: a text is aligned at its own level only.
+    deep = [shape("<div>" * n + "<p>a</p><p>b</p>" + "</div>" * n) for n in (300, 301)]
+    assert max(deep[0].children, key=len) == [301, 302] and deep[0].ups[300] == 299
+    assert score_of(deep[0], deep[0]) == 305 and score_of(*deep) == 301
+    many = [shape("<div><p>x</p>" * 3000 + str(n)) for n in range(2)]
+    assert score_of(*many) == 1 + 3000 * 3
+    # 120 rows of two cells each, none equal, the second page without the first row: each row goes with its like.
+    rows = [f"<tr><td>{n}</td><td>{{0}}{n}</td></tr>" for n in range(120)]
+    one, two = (shape("<table>" + "".join(r.format(p) for r in kept) + "</table>") for p, kept in (("a", rows), ("b", rows[1:])))
+    assert score_of(one, two) == 2 + 119 * 4
+    # The same for 1,200 leaves without a single equal one at its place.
+    one, two = (shape("".join(f"<p>{n % 600}</p>" for n in range(at, 1200))) for at in (0, 1))
+    assert score_of(one, two) == 1 + 1199 * 2
+
+
 def test_marked_wrappers_keep_the_page(spark):
     for page in (
         "<div class='layout with-sidebar'><p>Whole text</p></div><nav>Menu of links</nav>",
