@@ -16,10 +16,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditpath.llm.common import literal_array, lower_ascii, sum_at, words_between
+from creditpath.llm.common import literal_array, lower_ascii, stash, sum_at, words_between
 
 # Short public notices of each family.
 NOTICES = {
@@ -115,11 +117,11 @@ NAMES = {
 CONTEXT = 3
 NEGATED = {"governed", "granted", "licensed", "permitted", "released"}
 SEPARATORS = r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+"
-# Paragraphs without a notice that the fit and the calibration see at most, half each, chosen by a hash.
-SAMPLE_PARAGRAPHS = 4_000
 # Share of unseen unknown paragraphs that may pass the threshold, and of a notice's word pairs that confirm it.
 FALSE_POSITIVES, CONFIRMED = 0.001, 0.6
-RIDGE, STEPS, RATE = 0.0001, 400, 0.05
+RIDGE, STEPS = 0.0001, 100
+# The threshold is a multiple of one by this number.
+THRESHOLDS = 10_000
 
 
 def notice_words(text: str) -> list[str]:
@@ -367,10 +369,9 @@ class LicenseModel:
         return F.transform(seen, lambda g: F.array_position(known, g).cast("int") - 1)
 
     def scored(self, lines: DataFrame) -> DataFrame:
-        """``lines`` (words, pairs) with family and probability of the likeliest known family."""
-        rows = lines.withColumn("_features", F.coalesce(self.features(), F.expr("array()").cast("array<int>")))
-        logits = [sum_at(F.col("_features"), column.tolist(), float(column[-1])) for column in self.weights.T]
-        rows = rows.withColumn("_logits", F.array(*logits))
+        """``lines`` (at: the places of the n-grams) with family and probability of the likeliest known family."""
+        logits = [sum_at(F.col("at"), column.tolist(), float(column[-1])) for column in self.weights.T]
+        rows = lines.withColumn("_logits", F.array(*logits))
         rows = rows.withColumn("_top", F.array_max("_logits"))
         rows = rows.withColumn("_parts", F.transform("_logits", lambda z: F.exp(z - F.col("_top"))))
         known = F.slice("_parts", 2, len(self.families))
@@ -379,7 +380,7 @@ class LicenseModel:
         rows = rows.withColumns(
             {"family": F.get(literal_array(self.families, "string"), place), "probability": F.array_max(known) / total}
         )
-        return rows.drop("_features", "_logits", "_top", "_parts")
+        return rows.drop("_logits", "_top", "_parts")
 
 
 def _examples(notices: dict[str, list[str]], families: list[str]) -> list[tuple[int, float, list[str]]]:
@@ -409,77 +410,82 @@ def _not_notices(notices: dict[str, list[str]]) -> list[list[str]]:
     return found
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, mass: np.ndarray) -> np.ndarray:
-    """Weights of a ridge-penalised multinomial logistic regression; every class weighs the same, its rows by ``mass``."""
-    x = np.column_stack([x, np.ones(len(x))])
-    target = np.eye(classes)[y]
-    share = mass / (mass @ target)[y] / classes
-    weights = np.zeros((x.shape[1], classes))
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, STEPS + 1):
-        logits = x @ weights
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        g = x.T @ ((p / p.sum(1, keepdims=True) - target) * share[:, None]) + RIDGE * weights
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    return weights
+def vocabulary_of(notices: dict[str, list[str]]) -> list[str]:
+    found = {g for _, _, grams in _examples(notices, sorted(notices)) for g in grams}
+    return sorted(found.union(*_not_notices(notices)))
 
 
-def fit(documents: DataFrame, notices: dict[str, list[str]] = NOTICES, sample: int = SAMPLE_PARAGRAPHS) -> LicenseModel:
-    """Learn the families from the notices, and the unknown class from lines that hold no notice.
+def candidates(documents: DataFrame, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+    """The rows of :func:`paragraphs` with ``at``, the places of their n-grams in the vocabulary, the families that
+    ``could`` be confirmed, and of each line that holds no notice a ``plain`` hash.
+    """
+    vocabulary = vocabulary_of(notices)
+    model = LicenseModel(sorted(notices), vocabulary, np.zeros(0))
+    rows = _with_pairs(paragraphs(documents, notices))
+    pairs = literal_array([g for g in vocabulary if " " in g], "string")
+    tagged = F.rlike("line", F.lit(f"(?i){SPDX_TAG}"))
+    plain = F.col("start").isNull() & (F.size(F.array_intersect("pairs", pairs)) < 2) & ~tagged
+    at = F.coalesce(F.sort_array(model.features()), F.expr("array()").cast("array<int>"))
+    return rows.withColumns(
+        {"at": at, "could": could_be(notices), "plain": F.when(plain, F.xxhash64("line"))}
+    ).drop("line", "words", "pairs")
+
+
+def fit(found: DataFrame, notices: dict[str, list[str]] = NOTICES) -> LicenseModel:
+    """Learn the families from the notices, and the unknown class from all lines of ``found`` that hold no notice.
 
-    ``sample`` bounds the documents that give such lines and the lines; of a line only its
-    known n-grams come to the driver. Half of the lines calibrate the threshold.
+    ``found`` are the candidates of all documents: no other line can be a notice. Equal lines
+    count once. One half of the lines, by their hash, is learned from, each set of n-grams once;
+    the other half calibrates the threshold. Only weights and counts by probability come to the driver.
     """
+    spark = found.sparkSession
     families = sorted(notices)
     examples = _examples(notices, families)
     against = _not_notices(notices)
-    vocabulary = sorted({g for _, _, grams in examples for g in grams} | {g for grams in against for g in grams})
-    model = LicenseModel(families, vocabulary, np.zeros((len(vocabulary) + 1, len(families) + 1)))
-    ids = documents.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
-    some = documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
-    lines = _with_pairs(lines.orderBy(F.xxhash64("line"), "line").limit(sample))
-    pairs = literal_array([g for g in vocabulary if " " in g], "string")
-    tagged = F.rlike("line", F.lit(f"(?i){SPDX_TAG}"))
-    plain = lines.where((F.size(F.array_intersect("pairs", pairs)) < 2) & ~tagged)
-    half = F.pmod(F.xxhash64("line"), F.lit(2)).alias("half")
-    found = plain.select(half, F.sort_array(model.features()).alias("at")).groupBy("half", "at").count().collect()
-    seen = [(r["half"], list(r["at"]), r["count"]) for r in sorted(found, key=lambda r: (r["half"], r["at"]))]
+    vocabulary = vocabulary_of(notices)
     number = {g: i for i, g in enumerate(vocabulary)}
-    rows = [(c, weight, [number[g] for g in grams]) for c, weight, grams in examples]
-    # A line without a known n-gram is unknown whatever the sample. Lines weigh as much as changed notices.
-    plain = [[]] + [at for h, at, _ in seen if h == 0]
-    rows += [(0, 1 / len(plain), at) for at in plain]
-    rows += [(0, 1 / len(against), [number[g] for g in grams]) for grams in against]
-    x = np.zeros((len(rows), len(vocabulary)))
-    for i, (_, _, at) in enumerate(rows):
-        x[i, at] = 1
-    model.weights = fit_softmax(x, np.array([c for c, _, _ in rows]), len(families) + 1, np.array([w for _, w, _ in rows]))
-    unseen = [(at, n) for h, at, n in seen if h == 1]
-    if unseen:
-        logits = np.array([model.weights[at].sum(0) + model.weights[-1] for at, _ in unseen])
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        likely = np.repeat((p / p.sum(1, keepdims=True))[:, 1:].max(1), [n for _, n in unseen])
-        model.least = max(0.5, float(np.quantile(likely, 1 - FALSE_POSITIVES)))
+    lines = found.where("plain IS NOT NULL").select("plain", "at").dropDuplicates(["plain"])
+    seen = stash(lines.groupBy(F.pmod("plain", F.lit(2)).alias("half"), "at").agg(F.count(F.lit(1)).alias("n")), "lines")
+    learned = seen.where("half = 0 AND size(at) > 0").select("at")
+    # A line without a known n-gram is unknown in any case. Lines weigh as much as changed notices, all classes the same.
+    each = 1 / (learned.count() + 1)
+    rows = [(0.0, each / 2, [])] + [(0.0, 1 / len(against) / 2, [number[g] for g in grams]) for grams in against]
+    rows += [(float(c), weight / len(notices[families[c - 1]]), [number[g] for g in grams]) for c, weight, grams in examples]
+    told = spark.createDataFrame(rows, "label double, weight double, at array<int>")
+    told = told.unionByName(learned.select(F.lit(0.0).alias("label"), F.lit(each / 2).alias("weight"), "at"))
+    names = [str(i) for i in range(len(vocabulary))]
+    counter = CountVectorizerModel.from_vocabulary(names, "grams", "features")
+    told = counter.transform(told.withColumn("grams", F.col("at").cast("array<string>")))
+    fitted = LogisticRegression(
+        family="multinomial", weightCol="weight", regParam=RIDGE, standardization=False, maxIter=STEPS
+    ).fit(told)
+    weights = np.vstack([fitted.coefficientMatrix.toArray().T, fitted.interceptVector.toArray()])
+    model = LicenseModel(families, vocabulary, weights)
+    step = F.floor(F.col("probability") * THRESHOLDS).cast("int")
+    unseen = model.scored(seen.where("half = 1"))
+    counts = dict(unseen.groupBy(F.greatest(step, F.lit(THRESHOLDS // 2 - 1)).alias("step")).agg(F.sum("n")).collect())
+    allowed, least = FALSE_POSITIVES * sum(counts.values()), THRESHOLDS
+    while least > THRESHOLDS // 2 and sum(n for at, n in counts.items() if at >= least - 1) <= allowed:
+        least -= 1
+    model.least = least / THRESHOLDS
     return model
 
 
-def confirmed(notices: dict[str, list[str]] = NOTICES, share: float = CONFIRMED) -> Column:
-    """Whether ``pairs`` hold at least ``share`` of the word pairs of a notice of ``family``, and ``words`` a name in it."""
-    enough = F.lit(False)
+def could_be(notices: dict[str, list[str]] = NOTICES, share: float = CONFIRMED) -> Column:
+    """The families of which ``pairs`` hold at least ``share`` of the word pairs of a notice, and ``words`` a name in it."""
+    found = []
     for family, texts in sorted(notices.items()):
+        enough = F.lit(False)
         for text in texts:
             wanted = sorted(set(pairs_of(notice_words(text))))
-            shared = F.size(F.array_intersect("pairs", literal_array(wanted, "string")))
-            here = (F.col("family") == family) & (shared >= math.ceil(share * len(wanted)))
+            here = F.size(F.array_intersect("pairs", literal_array(wanted, "string"))) >= math.ceil(share * len(wanted))
             names = sorted(NAMES & set(notice_words(text)))
             enough = enough | (here & F.arrays_overlap("words", literal_array(names, "string")) if names else here)
-    return enough
+        found.append(F.when(enough, F.lit(family)))
+    return F.array_compact(F.array(*found))
 
 
-def licenses(documents: DataFrame, notices: dict[str, list[str]] = NOTICES, sample: int = SAMPLE_PARAGRAPHS) -> DataFrame:
+def licenses(documents: DataFrame, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     """doc_id, n_notices, families (sorted, comma-joined), notices for every row of ``documents`` (doc_id, text).
 
     notices lists, in order, paragraph (number of its first line, from 0), family and probability
@@ -487,9 +493,11 @@ def licenses(documents: DataFrame, notices: dict[str, list[str]] = NOTICES, samp
     are returned as often; a NULL doc_id is an id like any other; in an empty table the
     unknown class is learned from the empty line alone. Further columns are ignored.
     """
-    model = fit(documents, notices, sample)
-    scored = model.scored(_with_pairs(paragraphs(documents, notices)))
-    good = F.col("paragraph").isNotNull() & (F.col("probability") >= model.least) & confirmed(notices)
+    every = stash(candidates(documents, notices), "candidates")
+    model = fit(every, notices)
+    scored = model.scored(every)
+    sure = F.col("probability") >= model.least
+    good = F.col("paragraph").isNotNull() & sure & F.expr("array_contains(could, family)")
     notice = F.when(good, F.struct("paragraph", "family", F.round("probability", 4).alias("probability"), "last", "start", "end"))
     per_doc = scored.groupBy("doc_id", "_text").agg(
         F.collect_set(notice).alias("_found"), F.sum(F.col("_row").cast("long")).alias("_rows")

@@ -10,8 +10,9 @@ import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from creditpath.llm import queries
+from creditpath.llm import license_scan, queries
 from creditpath.llm.chat import chat_digest, escaped, final_messages, format_chats, unescaped
+from creditpath.llm.common import stash
 from creditpath.llm.decontamination import contamination
 from creditpath.llm.license_scan import NOTICES, licenses
 from creditpath.llm.mixing import PULL, fit_rates, mixture, rate_of
@@ -175,6 +176,24 @@ def test_licenses(spark):
     assert licenses(docs_of(spark, (1, "a")).limit(0)).count() == 0
 
 
+def test_unknown_licenses_are_learned_from_all_lines(spark, monkeypatch):
+    n, seen = 9_000, {}
+    texts = F.concat(F.lit("Redistribution of part "), F.col("id").cast("string"), F.lit(" by the authors\nno such words here"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 100")).unionByName(docs_of(spark, (n, NOTICES["bsd"][0])).select("doc_id", "text"))
+
+    def kept(df, label):
+        seen[label] = stash(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(license_scan, "stash", kept)
+    rows = licenses(docs).where("n_notices > 0").collect()
+    assert [(r["doc_id"], r["families"]) for r in rows] == [(n, "bsd")]
+    # Each line with a word of a notice is there once, whatever the number of documents.
+    halves = {r["half"]: r["n"] for r in seen["lines"].groupBy("half").agg(F.sum("n").alias("n")).collect()}
+    assert sum(halves.values()) == n and min(halves.values()) > 0.45 * n
+
+
 def test_wrapped_licenses(spark):
     mit = (
         "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated"
